@@ -147,6 +147,13 @@ def _pack_group(table: pa.Table, last: bool, capacity: int) -> pa.Table:
     return table.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again))
 
 
+def _packer(last: bool, capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _pack_group(table, last, capacity)
+
+    return run
+
+
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to materialised pieces; rounds are written as they end."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -159,10 +166,7 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, group_items: int = G
     while True:
         last = groups == 1
 
-        def run(table: pa.Table, last: bool = last) -> pa.Table:
-            return _pack_group(table, last, capacity)
-
-        packed = materialize(rest.groupBy("grp").applyInArrow(run, schema), f"round{round_no}")
+        packed = materialize(rest.groupBy("grp").applyInArrow(_packer(last, capacity), schema), f"round{round_no}")
         kept = packed.where(~F.col("again")).select(*columns, (F.lit(round_no << 56) + F.col("grp") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset")
         done = done.unionByName(kept)
         if last:
