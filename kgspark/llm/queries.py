@@ -11,6 +11,8 @@ from .bpe import bpe_digest
 from .common import table
 from .media import media_digest
 from .packing import pack_documents
+from .quality import ORACLE_SQL as QUALITY_SQL
+from .quality import quality_digest
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +27,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_media_columns": op7_media_columns,
+    "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_SQL}
