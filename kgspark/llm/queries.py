@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
 from .common import table
+from .licenses import license_scan
 from .media import media_digest
 from .packing import pack_documents
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import quality_digest
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import warc_round_trip
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +34,20 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_media_columns": op7_media_columns,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op9_quality_rules": QUALITY_SQL}
