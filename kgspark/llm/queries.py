@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .common import table
 from .licenses import license_scan
+from .lm import lm_score
 from .media import media_digest
 from .packing import pack_documents
 from .quality import ORACLE_SQL as QUALITY_SQL
@@ -42,6 +43,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
@@ -49,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media_columns": op7_media_columns,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op9_quality_rules": QUALITY_SQL}
