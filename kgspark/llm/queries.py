@@ -15,10 +15,15 @@ from .media import media_digest
 from .packing import pack_documents
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import quality_digest
+from .suffix_dedup import suffix_digest
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import warc_round_trip
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,6 +53,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
