@@ -12,6 +12,7 @@ from .common import table
 from .licenses import license_scan
 from .lm import lm_score
 from .media import media_digest
+from .near_dedup import near_classes
 from .packing import pack_documents
 from .quality import ORACLE_SQL as QUALITY_SQL
 from .quality import quality_digest
@@ -24,6 +25,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,6 +59,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_prob_minhash": op2_prob_minhash,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
