@@ -10,12 +10,12 @@ a connected component of links, named by its smallest document id.
    by Poisson processes whose rate is their weight; an arrival picks a register, which
    keeps its first. An element stops once its clock is past the last register's.
 2. Rows of one bag collapse to a node, so copies never meet in a bucket.
-3. Bands of registers are bucket keys. In each bucket the most popular node (the one
-   whose buckets hold the most nodes) is the hub; all others are compared with it:
-   first 64 registers, then the bags themselves, exactly.
-4. Members whose link to the hub failed stay together under a finer key, with one more
-   register, and elect a new hub, until no bucket has two left. Work is linear in
-   a bucket in each round; no pairs within it are listed.
+3. Bands of registers are bucket keys. In a bucket of more than ``SMALL`` nodes the most
+   popular one (whose buckets hold the most nodes) is the hub; all others are compared
+   with it, bag by bag, exactly. Those whose link fails stay together under finer
+   keys, with more registers; large ones of these buckets elect new hubs.
+4. The distinct member sets of small buckets are compared within, exactly. So work
+   is linear in a large bucket in each round, and no pairs within it are listed.
 5. Links form classes by label propagation.
 
 Null and empty texts have an empty bag and are one class (equal copies); null ids
@@ -36,9 +36,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-COARSE = 64
-#: A link of similarity 0.8 has under 35 of 64 registers equal once in 4 million times.
-COARSE_EQUAL = 35
+#: Registers that a finer key adds, and how many finer keys an unlinked member gets: a link of 0.8 gains by it, chance meetings fade.
+DEEPER, WAYS = 6, 6
+SMALL = 64
 MAX_ROUNDS = 40
 OWN = "__kgspark_"
 _C = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
@@ -191,6 +191,39 @@ def _verify(batches):
         yield batch.select(["rep", "hub"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _exhaust(batches):
+    """Links of sets whose rows come one after the other; a link that joins nothing new is left out."""
+
+    def links(group: list[tuple[int, bytes]]):
+        of = [_unpack(b) for _, b in group]
+        whole = [len(b) % 8 == 0 for _, b in group]
+        root = list(range(len(group)))
+        for j in range(1, len(group)):
+            for i in range(j):
+                if root[i] == root[j]:
+                    continue
+                few, many = sorted((len(of[i][0]), len(of[j][0])))
+                if whole[i] and whole[j] and few < SIMILARITY * many:
+                    continue
+                if probability_jaccard(*of[i], *of[j]) >= SIMILARITY:
+                    old, new = root[j], root[i]
+                    root = [new if r == old else r for r in root]
+                    yield group[j][0], group[i][0]
+
+    held: list[tuple[int, bytes]] = []
+    last = None
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for s, rep, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if s != last:
+                out += links(held)
+                held, last = [], s
+            held.append((rep, bag))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["rep", "hub"])
+    out = list(links(held))
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["rep", "hub"])
+
+
 def signed(df: DataFrame, text_col: str) -> DataFrame:
     """The rows (text_col a string) with a row number, digests and signature, written once."""
     column = df.columns.index(text_col)
@@ -211,26 +244,30 @@ def _links(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
     actives = nodes.join(popular.withColumnRenamed("rep", OWN + "row"), OWN + "row")
     actives = materialize(actives.select(F.col(OWN + "row").alias("rep"), "pop", F.col(f"`{text_col}`").cast("string").alias("text"), sig.alias("sig")), "actives")
     bag = materialize(actives.select("rep", "text").mapInArrow(_bag, "rep bigint, bag binary"), "bags")
-    current = shared.select("key", "band", "rep").join(actives.select("rep", "pop"), "rep")
-    found: DataFrame | None = None
+    current, sets, found = shared, None, None
     for round_no in range(MAX_ROUNDS):
-        hubs = current.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("h"), F.count("*").alias("n")).where("n > 1")
-        asked = materialize(current.join(hubs.select("key", (-F.col("h.r")).alias("hub")), "key").where("rep <> hub").select("key", "band", "rep", "pop", "hub"), f"asked{round_no}")
-        if asked.isEmpty():
+        small = current.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members")
+        sets = small if sets is None else sets.union(small)
+        large = current.where(F.col("n") > SMALL).select("key", "band", "rep")
+        if large.isEmpty():
             break
-        coarse = actives.select("rep", F.slice("sig", 1, COARSE).alias("c"))
-        pairs = asked.select("rep", "hub").distinct().join(coarse, "rep").join(coarse.select(F.col("rep").alias("hub"), F.col("c").alias("d")), "hub")
-        equal = F.aggregate(F.zip_with("c", "d", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-        pairs = pairs.where(equal >= COARSE_EQUAL).select("rep", "hub")
-        full = pairs.join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
+        large = large.join(actives.select("rep", "pop"), "rep")
+        hubs = large.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("h"))
+        asked = materialize(large.join(hubs.select("key", (-F.col("h.r")).alias("hub")), "key").where("rep <> hub").select("key", "band", "rep", "hub"), f"asked{round_no}")
+        full = asked.select("rep", "hub").distinct().join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
         linked = materialize(full.mapInArrow(_verify, "rep bigint, hub bigint"), f"linked{round_no}")
         found = linked if found is None else found.unionByName(linked)
         rest = asked.join(linked, ["rep", "hub"], "left_anti").join(actives.select("rep", "sig"), "rep")
-        more = F.get("sig", F.pmod(F.col("band") * ROWS + ROWS + round_no, F.lit(REGISTERS)))
-        current = rest.select(F.xxhash64("key", more).alias("key"), "band", "rep", "pop")
+        at = [F.pmod(F.col("band") * ROWS + ROWS + (round_no * WAYS + w) * DEEPER, F.lit(REGISTERS - DEEPER)) + 1 for w in range(WAYS)]
+        finer = F.explode(F.array(*(F.xxhash64("key", F.lit(w), F.slice("sig", a, DEEPER)) for w, a in enumerate(at))))
+        rest = rest.select(finer.alias("key"), "band", "rep")
+        current = materialize(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), f"finer{round_no}")
     else:
-        raise RuntimeError(f"buckets still hold unlinked nodes after {MAX_ROUNDS} rounds")
-    return found if found is not None else asked.select("rep", "hub")
+        raise RuntimeError(f"buckets are still large after {MAX_ROUNDS} rounds")
+    sets = materialize(sets.distinct().withColumn("s", F.monotonically_increasing_id()), "sets")
+    listed = sets.select("s", F.explode("members").alias("rep")).join(bag, "rep").select("s", "rep", "bag")
+    linked = listed.repartition("s").sortWithinPartitions("s").mapInArrow(_exhaust, "rep bigint, hub bigint")
+    return linked if found is None else found.unionByName(linked)
 
 
 def components(links: DataFrame) -> DataFrame:
