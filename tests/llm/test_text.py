@@ -29,6 +29,9 @@ def bag(text):
 def similarity(x, y):
     if not x or not y:
         return float(x == y)
+    shared = len(x.keys() & y.keys())
+    if max(x.values()) == max(y.values()) == 1 or not shared:
+        return shared / (len(x) + len(y) - shared)
     both_ = x.keys() | y.keys()
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in both_) for i in x if i in y)
 
