@@ -45,8 +45,8 @@ from .common import doc_chunks, text_buffers, total_bytes
 
 LENGTH = 100
 ANCHOR = 32
-PART_BYTES = 1 << 23
-BUCKET_BYTES = 1 << 25
+PART_BYTES = 1 << 21
+BUCKET_BYTES = 1 << 23
 BATCH_SUFFIXES = 1 << 16
 CHUNK_BYTES = 1 << 18
 OWN = "__kgspark_"
