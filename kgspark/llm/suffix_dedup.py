@@ -47,6 +47,7 @@ LENGTH = 100
 ANCHOR = 32
 PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
+STEP_BYTES = 1 << 21
 BATCH_SUFFIXES = 1 << 16
 CHUNK_BYTES = 1 << 18
 OWN = "__kgspark_"
@@ -196,7 +197,7 @@ def _spans(docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
     return docs[new], starts[new], starts[last] + length
 
 
-_WIDE = "part bigint, bucket bigint, ids binary, nulls binary, docs binary, starts binary, counts binary, text binary, span_docs binary, span_starts binary, span_ends binary"
+_WIDE = "part bigint, bucket bigint, keys binary, ids binary, nulls binary, docs binary, starts binary, counts binary, text binary, span_docs binary, span_starts binary, span_ends binary"
 _BINARY = [x.split()[0] for x in _WIDE.split(", ")][2:]
 
 
@@ -277,29 +278,32 @@ class _Steps:
         for b in np.flatnonzero(cut[1:] > cut[:-1]):
             s = send[cut[b] : cut[b + 1]]
             text = runs.data[_expand(firsts[s], counts[s] + self.length - 1)]
-            rows.append(_row(part, int(b), ids=values[docs[s]].astype(np.int64), nulls=nulls[docs[s]], docs=docs[s].astype(np.int32), starts=starts[s], counts=counts[s].astype(np.uint16), text=text))
+            rows.append(_row(part, int(b), keys=keys[s], ids=values[docs[s]].astype(np.int64), nulls=nulls[docs[s]], docs=docs[s].astype(np.int32), starts=starts[s], counts=counts[s].astype(np.uint16), text=text))
         return _wide(rows)
 
     def matches(self, key, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [r for r in rows if r["span_docs"] is not None]
-        rows = sorted((r for r in rows if r["ids"] is not None), key=lambda r: r["part"])
-        if rows:
-            get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-            ids, nulls, docs, starts, counts = get("ids", np.int64), get("nulls", bool), get("docs", np.int32), get("starts", np.int64), get("counts", np.uint16).astype(np.int64)
-            parts = np.repeat([r["part"] for r in rows], [len(r["docs"]) // 4 for r in rows])
+        own = table.column("span_docs").is_valid()
+        out = table.filter(own).select(["part", "bucket", "span_docs", "span_starts", "span_ends"]).to_pylist()
+        table = table.filter(pa.compute.invert(own))
+        if table.num_rows:
+            get = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+            keys, ids, nulls, docs, starts, counts = get("keys", np.uint64), get("ids", np.int64), get("nulls", bool), get("docs", np.int32), get("starts", np.int64), get("counts", np.uint16).astype(np.int64)
+            parts = np.repeat(table.column("part").to_numpy(), [len(x.as_py()) // 4 for x in table.column("docs")])
+            text, _ = text_buffers(table.column("text"))
             sizes = counts + self.length - 1
             firsts = np.cumsum(sizes) - sizes
-            order = np.lexsort((starts, docs, parts, ids, ~nulls))
-            text = get("text", np.uint8)[_expand(firsts[order], sizes[order])]
-            parts, docs, starts, counts, sizes = parts[order], docs[order], starts[order], counts[order], sizes[order]
-            again = repeats(text, np.cumsum(sizes) - sizes, counts, self.length)
-            run_of = np.repeat(np.arange(len(counts)), counts)[again]
-            at = _expand(starts, counts)[again]
-            for part in np.unique(parts[run_of]):
-                mine = parts[run_of] == part
-                spans = _spans(docs[run_of[mine]], at[mine], self.length)
-                out.append(_row(int(part), 0, span_docs=spans[0].astype(np.int32), span_starts=spans[1], span_ends=spans[2]))
+            steps = -(-len(text) // STEP_BYTES)  # equal prefixes have one anchor, so slices of keys can go one by one
+            for k in range(steps):
+                some = np.flatnonzero(keys % np.uint64(steps) == np.uint64(k))
+                order = some[np.lexsort((starts[some], docs[some], parts[some], ids[some], ~nulls[some]))]
+                mine = text[_expand(firsts[order], sizes[order])]
+                again = repeats(mine, np.cumsum(sizes[order]) - sizes[order], counts[order], self.length)
+                run_of = order[np.repeat(np.arange(len(order)), counts[order])[again]]
+                at = _expand(starts[order], counts[order])[again]
+                for part in np.unique(parts[run_of]):
+                    of = parts[run_of] == part
+                    spans = _spans(docs[run_of[of]], at[of], self.length)
+                    out.append(_row(int(part), 0, span_docs=spans[0].astype(np.int32), span_starts=spans[1], span_ends=spans[2]))
         return _wide(out).select(["part", "span_docs", "span_starts", "span_ends"])
 
     def removed(self, table: pa.Table, spans: pa.Table):
