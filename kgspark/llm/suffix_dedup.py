@@ -100,7 +100,7 @@ class Runs:
                 continue
             a = least[inside].astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (inside[1:] != inside[:-1] + 1)]))
-            keys.append(h[a[new]])
+            keys.append(mix(h[a[new]]))  # anchors have small hashes; mixed again they spread evenly
             docs.append(doc[inside[new]] + i)
             starts.append(inside[new] - at[doc[inside[new]]])
             counts.append(np.diff(np.append(new, len(inside))))
