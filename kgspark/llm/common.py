@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(paths: list[str]):
+    """Within it, the paths of tables that ``materialize`` writes are added to ``paths``."""
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def release(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Delete the scratch tables at ``paths``, unless ``docs`` still reads from the scratch folder."""
+    if paths and not any("/kgspark/" in f and any(p.rpartition("/")[2] in f for p in paths) for f in docs.inputFiles()):
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        paths.clear()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/kgspark/{uuid.uuid4().hex}-{tag}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
