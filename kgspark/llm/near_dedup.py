@@ -242,7 +242,7 @@ def _links(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
     shared = materialize(spread.join(sizes, "key"), "buckets")
     popular = shared.groupBy("rep").agg(F.sum("n").alias("pop"))
     actives = nodes.join(popular.withColumnRenamed("rep", OWN + "row"), OWN + "row")
-    actives = materialize(actives.select(F.col(OWN + "row").alias("rep"), "pop", F.col(f"`{text_col}`").cast("string").alias("text"), sig.alias("sig")), "actives")
+    actives = materialize(actives.select(F.col(OWN + "row").alias("rep"), "pop", F.col(OWN + "n1").alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"), sig.alias("sig")), "actives")
     bag = materialize(actives.select("rep", "text").mapInArrow(_bag, "rep bigint, bag binary"), "bags")
     current, sets, found = shared, None, None
     for round_no in range(MAX_ROUNDS):
@@ -251,9 +251,9 @@ def _links(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
         large = current.where(F.col("n") > SMALL).select("key", "band", "rep")
         if large.isEmpty():
             break
-        large = large.join(actives.select("rep", "pop"), "rep")
-        hubs = large.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("h"))
-        asked = materialize(large.join(hubs.select("key", (-F.col("h.r")).alias("hub")), "key").where("rep <> hub").select("key", "band", "rep", "hub"), f"asked{round_no}")
+        large = large.join(actives.select("rep", "pop", "digest"), "rep")
+        hubs = large.groupBy("key").agg(F.max(F.struct("pop", "digest", "rep")).alias("h"))  # ties by content: the same hubs however rows are dealt
+        asked = materialize(large.join(hubs.select("key", F.col("h.rep").alias("hub")), "key").where("rep <> hub").select("key", "band", "rep", "hub"), f"asked{round_no}")
         full = asked.select("rep", "hub").distinct().join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
         linked = materialize(full.mapInArrow(_verify, "rep bigint, hub bigint"), f"linked{round_no}")
         found = linked if found is None else found.unionByName(linked)
