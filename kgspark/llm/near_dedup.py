@@ -17,6 +17,9 @@ a connected component of links, named by its smallest document id.
 4. The distinct member sets of small buckets are compared within, exactly. So work
    is linear in a large bucket in each round, and no pairs within it are listed.
 5. Links form classes by label propagation.
+6. Nodes of a bucket of more than ``SMALL`` that is not one class yet are compared
+   exactly across classes, linked or not, where they share a rare shingle: whatever
+   a hub or a finer key lost is found.
 
 Null and empty texts have an empty bag and are one class (equal copies); null ids
 are never a class's name unless it has no other; repeated rows are one class.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NOT_SPACE, mix, spans_hash, word_spans
@@ -232,8 +236,44 @@ def signed(df: DataFrame, text_col: str) -> DataFrame:
     return materialize(out.withColumn(OWN + "row", F.monotonically_increasing_id()), "signed")
 
 
-def _links(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
-    """Verified (rep, hub) pairs among the nodes. rows: row number, text, digests, signature."""
+def _tokens(batches):
+    """A row for each shingle of each bag."""
+    for batch in batches:
+        reps, roots, keys, weights = [], [], [], []
+        for rep, root, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            k, w = _unpack(bag)
+            reps.append(np.full(len(k), rep, np.int64))
+            roots.append(np.full(len(k), root, np.int64))
+            keys.append(k.view(np.int64))
+            weights.append(w.astype(np.int64))
+        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (reps, roots, keys, weights)]
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["rep", "root", "token", "w"])
+
+
+def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
+    """Verified (rep, hub) pairs of different roots, all there are. members: rep, root.
+
+    Shingles are ordered from rare to frequent. A similarity of 0.8 needs a common weight of 0.8 of either
+    bag (its terms are at most the smaller share), so the first common shingle has that much from it on in
+    both; in bags without repeats, 4/9 of the two sizes. Pairs meet at such shingles and are compared exactly.
+    """
+    token = materialize(members.join(bag, "rep").select("rep", "root", "bag").mapInArrow(_tokens, "rep bigint, root bigint, token bigint, w bigint"), "tokens")
+    df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    onward = W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy("rep")
+    ranked = token.join(df, "token").select("*", F.sum("w").over(onward).alias("left"), F.sum("w").over(whole).alias("total"), F.max("w").over(whole).alias("most"))
+    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "left", F.when(F.col("most") == 1, F.col("total")).alias("size"))
+    ranked = materialize(ranked, "prefixes")
+    a, b = ranked.alias("a"), ranked.alias("b")
+    near = a.join(b, F.expr("a.token = b.token and a.root < b.root and coalesce(least(a.left, b.left) * 9 >= (a.size + b.size) * 4, true)"))
+    near = near.select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep")).distinct()
+    full = near.join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
+    return full.mapInArrow(_verify, "rep bigint, hub bigint")
+
+
+def _roots(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
+    """(rep, root) of every node with a link. rows: row number, text, digests, signature."""
     nodes = rows.join(reps.select(F.col("rep").alias(OWN + "row")), OWN + "row", "left_semi")
     sig = F.col(OWN + "sig")
     keys = F.array(*(F.struct(F.xxhash64(F.lit(b), F.slice(sig, b * ROWS + 1, ROWS)).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)))
@@ -267,7 +307,19 @@ def _links(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
     sets = materialize(sets.distinct().withColumn("s", F.monotonically_increasing_id()), "sets")
     listed = sets.select("s", F.explode("members").alias("rep")).join(bag, "rep").select("s", "rep", "bag")
     linked = listed.repartition("s").sortWithinPartitions("s").mapInArrow(_exhaust, "rep bigint, hub bigint")
-    return linked if found is None else found.unionByName(linked)
+    if found is None:
+        return components(linked)
+    roots = components(found.unionByName(linked))
+    crowd = shared.where(F.col("n") > SMALL).select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    split = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = materialize(crowd.join(split, "key").select("rep", "root").distinct(), "crowd")
+    if members.isEmpty():
+        return roots
+    extra = _apart(members, bag).join(members, "rep").select("hub", F.col("root").alias("rep")).join(members.select(F.col("rep").alias("hub"), F.col("root").alias("to")), "hub")
+    joined = components(extra.select("rep", F.col("to").alias("hub")))
+    joined = materialize(joined.withColumnRenamed("rep", "node").withColumnRenamed("root", "upper"), "joined")
+    every = roots.unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("root"))).groupBy("rep").agg(F.min("root").alias("root"))
+    return every.join(joined, every.root == joined.node, "left").select("rep", F.coalesce("upper", "root").alias("root"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,7 +341,7 @@ def classes(rows: DataFrame, text_col: str) -> DataFrame:
     """(row number, root) of every signed row."""
     digest = [OWN + "n1", OWN + "n2"]
     reps = materialize(rows.groupBy(*digest).agg(F.min(OWN + "row").alias("rep")), "reps")
-    roots = components(_links(rows, text_col, reps))
+    roots = _roots(rows, text_col, reps)
     named = reps.join(roots, "rep", "left").select(*digest, F.coalesce("root", "rep").alias("root"))
     return rows.select(OWN + "row", *digest).join(named, digest).select(OWN + "row", "root")
 

@@ -82,6 +82,18 @@ def test_near_hot_group(spark):
     assert got == both(class_ids(rows))
 
 
+def test_near_link_beside_hub(spark):
+    """A text whose one link leaves with the hub, and that meets it in buckets of over SMALL nodes only."""
+    words = [f"w{i}" for i in range(260)]
+    edited = lambda at: " ".join(f"e{i}" if i in at else w for i, w in enumerate(words))
+    at = [5 + 10 * i for i in np.random.default_rng(4755).permutation(25)[:9].tolist()]
+    rows = [(500, edited(())), (501, edited(at[:4])), (502, edited(at))]
+    rows += [(k, " ".join([*words[:k], f"x{k}", *words[k + 1 :]])) for k in range(150)]
+    want = class_ids(rows)
+    assert want[2] == (502, 0, 153)
+    assert plain(near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "class_id", "class_size") == both(want)
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(0)
     x, y = (Counter(rng.integers(0, 300, 400).tolist()) for _ in "ab")
