@@ -483,7 +483,10 @@ def adaptive_chunks(spark, sf):
 @query()
 def bracket_parse(spark, sf):
     c = table(spark, sf, "conversations")
-    said = F.concat(F.lit("Triplets: [['"), "role", F.lit("', 'says', \""), F.regexp_replace(F.substring_index("text", " ", 3), r"[\"\\\n\r]", ""), F.lit("\"], ['_', 'a', 'b'], ['x', ['y', 'z']]]"))
+    quoted = F.col("text")
+    for sign, escape in {"\\": r"\\", '"': r"\"", "\n": r"\n", "\r": r"\r", "\0": r"\x00", "[": r"\x5b", "]": r"\x5d"}.items():  # a bare bracket would end the list
+        quoted = F.replace(quoted, F.lit(sign), F.lit(escape))
+    said = F.concat(F.lit("Triplets: [['"), "role", F.lit("', 'says', \""), quoted, F.lit("\"], ['_', 'a', 'b'], ['x', ['y', 'z']]]"))
     return c.select("conv_id", "turn", F.explode(parsing.parse_completion(said)).alias("t")).select("conv_id", "turn", F.to_json("t").alias("triple"))
 
 
