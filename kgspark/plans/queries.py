@@ -434,19 +434,40 @@ def schema_last_wins(spark, sf):
 
 @query("""WITH RECURSIVE m AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON instr(lower(d.text), lower(b.text)) > 0) SELECT * FROM m""")
 def benchmark_contained(spark, sf):
-    """Documents that hold a benchmark text (case-insensitive). Hash of the first 8-word run meets by equi join; the whole is then compared."""
+    """Documents that hold a benchmark text (case-insensitive). Hash of up to 8 inner words meets by equi join; the whole is then compared.
+
+    An item of one or two words has no inner ones: its longest meets the documents' distinct words at its first characters.
+    """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("low"), words(F.col("text")).alias("w"))
-    short = b.where(F.size("w") < 10)
-    b = b.where(F.size("w") >= 10)
+    texts = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("t"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
+    b = table(spark, sf, "benchmark").where("text is not null").select("item_id", F.lower("text").alias("low"), words(F.col("text")).alias("w"))
+    distinct = lambda lists: F.array_distinct(F.flatten(F.array(*lists)))
     # Inner words: the first and last may touch other text.
-    b = b.select("item_id", "low", F.xxhash64(F.slice("w", 2, 8)).alias("h"))
-    d = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("w"))
-    runs = d.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, 8))))).alias("h"))
-    near = runs.join(b, "h").select("doc_id", "item_id", "low")
-    full = near.join(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").where(F.instr("t", F.col("low")) > 0).select("doc_id", "item_id")
-    tiny = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")).join(F.broadcast(short.select("item_id", "low").limit(10_000)), F.contains("t", F.col("low"))).select("doc_id", "item_id") if not short.isEmpty() else None
-    return full if tiny is None else full.union(tiny)
+    inner = b.where(F.size("w") >= 3).withColumn("n", F.least(F.size("w") - 2, F.lit(8)))
+    lengths = sorted(r.n for r in inner.select("n").distinct().collect())
+    short = b.where(F.size("w").between(1, 2)).select("item_id", "low", F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))).x.alias("k"))
+    short = short.withColumn("gram", F.substring("k", 1, 4))
+    grams = sorted(r.n for r in short.select(F.length("gram").alias("n")).distinct().collect())
+    blank = b.where(F.size("w") == 0).select("item_id", "low")
+    near = spark.createDataFrame([], texts.select("doc_id").join(b.select("item_id", "low")).schema)
+    if lengths:
+        starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        runs = lambda n: F.transform(starts(n), lambda i: F.xxhash64(F.slice("w", i, n)))
+        hashes = distinct(runs(n) for n in lengths)
+        keys = inner.select("item_id", "low", F.xxhash64(F.slice("w", F.lit(2), F.col("n"))).alias("h"))
+        near = near.union(d.select("doc_id", F.explode(hashes).alias("h")).join(keys, "h").select("doc_id", "item_id", "low"))
+    if grams:
+        placed = d.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
+        cut = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.col("word").substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        known = placed.select("word").distinct().select("word", F.explode(distinct(cut(n) for n in grams)).alias("gram"))
+        held = known.join(short, "gram").where(F.contains("word", "k")).select("word", "item_id", "low")
+        near = near.union(placed.join(held, "word").select("doc_id", "item_id", "low").distinct())
+    full = near.join(texts, "doc_id").where(F.instr("t", F.col("low")) > 0).select("doc_id", "item_id")
+    if blank.isEmpty():
+        return full
+    spaces = texts.join(F.broadcast(blank.select("low").distinct()), F.contains("t", F.col("low"))).select("doc_id", "low")
+    return full.union(spaces.join(blank, "low").select("doc_id", "item_id"))
 
 
 @query("WITH {KG} SELECT s, p, o, (row_number() OVER (ORDER BY s, p, o) - 1)::INT AS gold_id FROM gn")
