@@ -1,7 +1,9 @@
 """Vectorised byte kernels: rolling hashes, window minima, word bounds and word hashes.
 
-All hashes are 64-bit polynomials modulo 2**64 with an odd base, finished by a
-bijective mixer. They depend on content alone, never on position or process.
+Hashes of windows are 64-bit polynomials modulo 2**64 with an odd base, those of spans
+sums of keyed bytes; both are finished by a bijective mixer. They depend on content
+alone, never on position or process. A polynomial collides on Thue-Morse strings for
+every base, so nothing takes equal window hashes for equal bytes without comparing.
 """
 
 from __future__ import annotations
@@ -9,8 +11,6 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_M = (1 << 64) - 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,27 +53,57 @@ def window_min(values: np.ndarray, w: int) -> np.ndarray:
     return cur
 
 
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
+def expand(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count numbers) of each pair, one after the other."""
+    stops = np.cumsum(counts)
+    return np.repeat(firsts - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 1 << 19)
-        b, v = np.full(size, BASE & _M, np.uint64), np.full(size, _INVERSE, np.uint64)
-        b[0] = v[0] = 1
-        _POW, _INV = np.cumprod(b, dtype=np.uint64), np.cumprod(v, dtype=np.uint64)
-    return _POW, _INV
+_BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_PLACE_KEYS = np.zeros(0, np.uint64)
+_MOST_PLACES = 1 << 20
+
+
+def _place_keys(n: int) -> np.ndarray:
+    global _PLACE_KEYS
+    if len(_PLACE_KEYS) < n:
+        _PLACE_KEYS = mix(np.arange(1, (1 << max(12, (n - 1).bit_length())) + 1, dtype=np.uint64))
+    return _PLACE_KEYS
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hash of data[s:e] for each span, independent of where it lies."""
-    power, inverse = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Mixed 64-bit hash of data[s:e] for each span, independent of where it lies.
+
+    A byte's key times the key of its place within the span, both pseudo-random, summed.
+    Different strings share a hash with the probability of a random 64-bit value; it is
+    no proof of equality, so whoever needs identity compares the bytes.
+    """
+    sizes = ends - starts
+    stops = np.cumsum(sizes)
+    total = int(stops[-1]) if len(stops) else 0
+    if not total:
+        return mix(np.zeros(len(starts), np.uint64))
+    within = np.arange(total) - np.repeat(stops - sizes, sizes)
+    longest = int(sizes.max())
+    places = _place_keys(longest)[within] if longest <= _MOST_PLACES else mix(within.astype(np.uint64) + np.uint64(1))
+    whole = total == len(data) and int(starts[0]) == 0 and bool((starts[1:] == ends[:-1]).all())
+    places *= _BYTE_KEYS[data if whole else data[expand(starts, sizes)]]
+    prefix = np.zeros(total + 1, np.uint64)
+    np.cumsum(places, out=prefix[1:])
+    return mix(prefix[stops] - prefix[stops - sizes] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray, step: int = 1 << 20) -> bool:
+    """Whether data[s:s + n] equals data[o:o + n] for all spans, in steps of bounded size."""
+    move = np.flatnonzero(starts != others)
+    starts, others, sizes = starts[move], others[move], sizes[move]
+    stops, i = np.cumsum(sizes), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(stops, stops[i] - sizes[i] + step, side="right")))
+        if not np.array_equal(data[expand(starts[i:j], sizes[i:j])], data[expand(others[i:j], sizes[i:j])]):
+            return False
+        i = j
+    return True
 
 
 #: Bytes of words as in ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z is lowered: 0-9, a-z and all of >= 0x80.

@@ -4,8 +4,9 @@ Bounds are found on UTF-8 bytes with array operations: before ASCII white space
 that follows a character which is surely no white space, and after a leading
 run of Latin letters that ASCII other than a letter follows. Tokenisers whose
 pieces are runs of letters, runs of others, or white space (with at most one
-blank before a run) never build a piece across such a bound. Parts are told
-apart by a 64-bit hash of their bytes; codes are memoised by it, boundedly.
+blank before a run) never build a piece across such a bound. Equal parts of a
+stretch meet by a 64-bit hash and are compared byte by byte; codes are memoised by
+the bytes themselves, boundedly.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .bytesops import spans_hash
+from .bytesops import same_spans, spans_hash
 from .common import doc_chunks
 
 _SPACE = np.zeros(256, bool)
@@ -32,7 +33,9 @@ _LEAD4[0xF0:0xF5] = True
 _LATIN_LEAD = np.zeros(256, bool)
 _LATIN_LEAD[0xC3:0xC9] = True  # U+00C0 to U+023F
 
-MAX_CACHED = 400_000
+MAX_CACHED = 250_000
+#: A longer part is coded each time that a stretch has it, and not kept.
+LONG_PART = 256
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,21 +70,22 @@ class PartCoder:
 
     def __init__(self, code: Callable[[bytes], bytes], strip: bool, most: int = MAX_CACHED):
         self.code, self.strip, self.most = code, strip, most
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _codes(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        out, raw = [], None
-        for k, key in enumerate(keys.tolist()):
-            value = self.new.get(key)
+    def _codes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        out = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            part = raw[a:b]
+            value = self.new.get(part)
             if value is None:
-                value = self.old.get(key)
+                value = self.old.get(part)
                 if value is None:
-                    raw = data.tobytes() if raw is None else raw
-                    value = self.code(raw[starts[k] : ends[k]])
-                if len(self.new) >= self.most:
-                    self.old, self.new = self.new, {}
-                self.new[key] = value
+                    value = self.code(part)
+                if b - a <= LONG_PART:
+                    if len(self.new) >= self.most:
+                        self.old, self.new = self.new, {}
+                    self.new[part] = value
             out.append(value)
         return out
 
@@ -99,8 +103,11 @@ class PartCoder:
                 first = np.searchsorted(text, starts)
                 heads = np.append(text, len(part))[first]
                 starts = np.minimum(heads, ends)
-            keys, first, inverse = np.unique(spans_hash(part, starts, ends), return_index=True, return_inverse=True)
-            codes = self._codes(part, keys, starts[first], ends[first])
+            _, first, inverse = np.unique(spans_hash(part, starts, ends), return_index=True, return_inverse=True)
+            alike = first[inverse]
+            if not ((ends - starts) == (ends - starts)[alike]).all() or not same_spans(part, starts, starts[alike], ends - starts):
+                first = inverse = np.arange(len(starts))  # two parts share a hash: each is looked up by its bytes
+            codes = self._codes(part.tobytes(), starts[first], ends[first])
             table = np.frombuffer(b"".join(codes), "<u4")
             sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
             base = np.cumsum(sizes) - sizes

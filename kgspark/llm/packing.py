@@ -40,7 +40,6 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.parts = PartCoder(self._part, strip=True)
 
     def _part(self, part: bytes) -> bytes:

@@ -12,7 +12,7 @@ import pytest
 
 from .conftest import DATA, both, edge_rows, plain
 
-from kgspark.llm import bpe, media, packing, suffix_dedup
+from kgspark.llm import bpe, chunks, media, packing, suffix_dedup
 
 
 def removed(rows, length=100):
@@ -98,6 +98,28 @@ def test_bpe(spark, edge, which):
     assert plain(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == both(want)
 
 
+def test_coders_tell_texts_with_polynomial_collisions_apart():
+    from tokenizers import Tokenizer
+
+    path, lib = public_tokenizers.path("word_bpe_49k.json"), library()
+    words, coder, word_lib = packing.WordTokenizer(path), bpe.bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    for n in (1024, 2048, 4096):
+        for flip in (0, 1):
+            text = "".join("ab"[bin(i).count("1") + flip & 1] for i in range(n))
+            assert coder.encode(text) == lib.encode_ordinary(text)
+            assert words.encode(text) == word_lib.encode(text, add_special_tokens=False).ids
+    for text in ("hello <|endoftext|> there", "a<|startoftext|><|endoftext|>b", "<|ENDOFTEXT|>", "don't<|endoftext|>'s"):
+        assert words.encode(text) == word_lib.encode(text, add_special_tokens=False).ids
+
+
+def test_coder_without_a_hash(monkeypatch):
+    """If all parts shared one hash, their bytes would still tell them apart."""
+    monkeypatch.setattr(chunks, "spans_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    coder, lib = bpe.ByteBpe(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN), library()
+    for text in ("one two three two one", "été, 12 été\n", ""):
+        assert coder.encode(text) == lib.encode_ordinary(text)
+
+
 def test_bpe_random_bytes_and_streams():
     coder, lib, rng = bpe.bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), library(), random.Random(3)
     for _ in range(300):
@@ -114,7 +136,6 @@ def test_packing(spark, edge, which):
     docs = edge if which == "edge" else spark.read.parquet(f"{DATA}/documents.parquet")
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     want, total = [], 0
     for r in docs.select("doc_id", "text").collect():
         ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 1]

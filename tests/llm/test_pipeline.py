@@ -27,7 +27,6 @@ def test_pipeline(spark, tmp_path):
     for d, _, n, _, _, raw in removed([r for r in rows if r[0] in first]):
         text[d] = raw
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     out = corpus_pipeline.run(spark, DATA).collect()
     got = defaultdict(list)
     for r in out:
