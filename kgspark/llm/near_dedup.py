@@ -10,16 +10,18 @@ a connected component of links, named by its smallest document id.
    by Poisson processes whose rate is their weight; an arrival picks a register, which
    keeps its first. An element stops once its clock is past the last register's.
 2. Rows of one bag collapse to a node, so copies never meet in a bucket.
-3. Bands of registers are bucket keys. In a bucket of more than ``SMALL`` nodes the most
-   popular one (whose buckets hold the most nodes) is the hub; all others are compared
-   with it, bag by bag, exactly. Those whose link fails stay together under finer
-   keys, with more registers; large ones of these buckets elect new hubs.
-4. The distinct member sets of small buckets are compared within, exactly. So work
-   is linear in a large bucket in each round, and no pairs within it are listed.
-5. Links form classes by label propagation.
-6. Nodes of a bucket of more than ``SMALL`` that is not one class yet are compared
-   exactly across classes, linked or not, where they share a rare shingle: whatever
-   a hub or a finer key lost is found.
+3. Bands of registers are bucket keys; nodes of one bucket are to be told apart or linked.
+   A bucket of at most ``SMALL`` nodes is compared within, pair by pair.
+4. In a larger one each node is compared, bag by bag, with the most popular node (whose
+   buckets hold the most nodes), and links form classes by label propagation.
+   Nodes of a larger bucket outside its largest class are compared with ``HUBS`` of that
+   class. This settles almost all of a group of copies, in linear work.
+5. What is left, buckets that still hold several classes, goes through an exact join
+   across classes on rare shingles (``_apart``), linked nodes included. So each pair of
+   one bucket is in one class, or has been compared, or can't be similar enough.
+
+Banding itself misses a link of similarity 0.8 about 3 times in a million. Shingles and
+bags are told apart by 64 and twice 64 bits of content hash.
 
 Null and empty texts have an empty bag and are one class (equal copies); null ids
 are never a class's name unless it has no other; repeated rows are one class.
@@ -40,10 +42,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Registers that a finer key adds, and how many finer keys an unlinked member gets: a link of 0.8 gains by it, chance meetings fade.
-DEEPER, WAYS = 6, 6
+#: Nodes of a bucket that are compared pair by pair; more go by hubs and the exact join, with the same result.
 SMALL = 64
-MAX_ROUNDS = 40
+HUBS = 16
 OWN = "__kgspark_"
 _C = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -180,13 +181,14 @@ def _sign(batches, column: int):
 
 
 def _bag(batches):
+    """Rows (rep, pop, digest, text) with the packed bag in place of the text."""
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
+        data, offsets = text_buffers(batch.column(3))
         out = []
         for i, j in _stretches(offsets):
             keys, counts, edge = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out += [_pack(keys[a:b], counts[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "bag"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["rep", "pop", "digest", "bag"])
 
 
 def _verify(batches):
@@ -272,61 +274,74 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     return full.mapInArrow(_verify, "rep bigint, hub bigint")
 
 
+def _checked(asked: DataFrame, bag: DataFrame, tag: str) -> DataFrame:
+    """The (rep, hub) pairs that are similar enough, written."""
+    other = bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other"))
+    full = asked.select("rep", "hub").distinct().join(bag, "rep").join(other, "hub").select("rep", "hub", "bag", "other")
+    return materialize(full.mapInArrow(_verify, "rep bigint, hub bigint"), tag)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, root) after more links, which may have nodes that roots lack."""
+    known = roots.unionByName(links.select("rep", F.col("rep").alias("root"))).unionByName(links.select(F.col("hub").alias("rep"), F.col("hub").alias("root")))
+    known = materialize(known.groupBy("rep").agg(F.min("root").alias("root")), "known")
+    of = lambda c: known.select(F.col("rep").alias(c), F.col("root").alias(c + "_root"))
+    upper = components(links.join(of("rep"), "rep").join(of("hub"), "hub").select(F.col("rep_root").alias("rep"), F.col("hub_root").alias("hub")).where("rep <> hub"))
+    upper = upper.select(F.col("rep").alias("root"), F.col("root").alias("upper"))
+    return materialize(known.join(upper, "root", "left").select("rep", F.coalesce("upper", "root").alias("root")), "roots")
+
+
+def _split(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, root) of the buckets that hold several classes."""
+    named = materialize(crowd.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")), "crowd")
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return named.join(several.select("key"), "key")
+
+
 def _roots(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
     """(rep, root) of every node with a link. rows: row number, text, digests, signature."""
     nodes = rows.join(reps.select(F.col("rep").alias(OWN + "row")), OWN + "row", "left_semi")
     sig = F.col(OWN + "sig")
-    keys = F.array(*(F.struct(F.xxhash64(F.lit(b), F.slice(sig, b * ROWS + 1, ROWS)).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)))
-    spread = nodes.select(F.col(OWN + "row").alias("rep"), F.explode(keys).alias("x")).select("x.key", "x.band", "rep")
+    keys = F.array(*(F.xxhash64(F.lit(b), F.slice(sig, b * ROWS + 1, ROWS)) for b in range(BANDS)))
+    spread = nodes.select(F.col(OWN + "row").alias("rep"), F.explode(keys).alias("key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(spread.join(sizes, "key"), "buckets")
-    popular = shared.groupBy("rep").agg(F.sum("n").alias("pop"))
-    actives = nodes.join(popular.withColumnRenamed("rep", OWN + "row"), OWN + "row")
-    actives = materialize(actives.select(F.col(OWN + "row").alias("rep"), "pop", F.col(OWN + "n1").alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"), sig.alias("sig")), "actives")
-    bag = materialize(actives.select("rep", "text").mapInArrow(_bag, "rep bigint, bag binary"), "bags")
-    current, sets, found = shared, None, None
-    for round_no in range(MAX_ROUNDS):
-        small = current.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members")
-        sets = small if sets is None else sets.union(small)
-        large = current.where(F.col("n") > SMALL).select("key", "band", "rep")
-        if large.isEmpty():
-            break
-        large = large.join(actives.select("rep", "pop", "digest"), "rep")
-        hubs = large.groupBy("key").agg(F.max(F.struct("pop", "digest", "rep")).alias("h"))  # ties by content: the same hubs however rows are dealt
-        asked = materialize(large.join(hubs.select("key", F.col("h.rep").alias("hub")), "key").where("rep <> hub").select("key", "band", "rep", "hub"), f"asked{round_no}")
-        full = asked.select("rep", "hub").distinct().join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
-        linked = materialize(full.mapInArrow(_verify, "rep bigint, hub bigint"), f"linked{round_no}")
-        found = linked if found is None else found.unionByName(linked)
-        rest = asked.join(linked, ["rep", "hub"], "left_anti").join(actives.select("rep", "sig"), "rep")
-        at = [F.pmod(F.col("band") * ROWS + ROWS + (round_no * WAYS + w) * DEEPER, F.lit(REGISTERS - DEEPER)) + 1 for w in range(WAYS)]
-        finer = F.explode(F.array(*(F.xxhash64("key", F.lit(w), F.slice("sig", a, DEEPER)) for w, a in enumerate(at))))
-        rest = rest.select(finer.alias("key"), "band", "rep")
-        current = materialize(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), f"finer{round_no}")
-    else:
-        raise RuntimeError(f"buckets are still large after {MAX_ROUNDS} rounds")
+    popular = shared.groupBy(F.col("rep").alias(OWN + "row")).agg(F.sum("n").alias("pop"))
+    actives = nodes.join(popular, OWN + "row").select(F.col(OWN + "row").alias("rep"), "pop", F.col(OWN + "n1").alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    signed_bag = actives.mapInArrow(_bag, "rep bigint, pop bigint, digest bigint, bag binary")
+    bag = materialize(signed_bag, "bags")
+    sets = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members")
     sets = materialize(sets.distinct().withColumn("s", F.monotonically_increasing_id()), "sets")
-    listed = sets.select("s", F.explode("members").alias("rep")).join(bag, "rep").select("s", "rep", "bag")
-    linked = listed.repartition("s").sortWithinPartitions("s").mapInArrow(_exhaust, "rep bigint, hub bigint")
-    if found is None:
-        return components(linked)
-    roots = components(found.unionByName(linked))
-    crowd = shared.where(F.col("n") > SMALL).select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    split = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = materialize(crowd.join(split, "key").select("rep", "root").distinct(), "crowd")
+    listed = sets.select("s", F.explode("members").alias("rep")).join(bag.select("rep", "bag"), "rep").select("s", "rep", "bag")
+    links = materialize(listed.repartition("s").sortWithinPartitions("s").mapInArrow(_exhaust, "rep bigint, hub bigint"), "small")
+    crowd = shared.where(F.col("n") > SMALL).select("key", "rep")
+    if crowd.isEmpty():
+        return components(links)
+    about = bag.select("rep", "pop", "digest")
+    hubs = crowd.join(about, "rep").groupBy("key").agg(F.max(F.struct("pop", "digest", "rep")).alias("h"))  # ties by content: the same hubs however rows are dealt
+    asked = crowd.join(hubs.select("key", F.col("h.rep").alias("hub")), "key").where("rep <> hub")
+    roots = components(links.unionByName(_checked(asked, bag.select("rep", "bag"), "starred")))
+    split = materialize(_split(crowd, roots), "split")
+    if split.isEmpty():
+        return roots
+    largest = split.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"))
+    sides = materialize(split.join(largest.where("m.n > 1").select("key", F.col("m.root").alias("main")), "key"), "sides")
+    ranked = sides.where("root = main").join(about, "rep").groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("digest", F.lit(i)).alias("o"), "rep"))["rep"] for i in range(HUBS))).alias("hubs"))
+    asked = sides.where("root <> main").select("key", "rep").join(ranked, "key").select("rep", F.explode(F.array_distinct("hubs")).alias("hub"))
+    roots = _merged(roots, _checked(asked, bag.select("rep", "bag"), "drawn"))
+    members = materialize(_split(crowd, roots).select("rep", "root").distinct(), "members")
     if members.isEmpty():
         return roots
-    extra = _apart(members, bag).join(members, "rep").select("hub", F.col("root").alias("rep")).join(members.select(F.col("rep").alias("hub"), F.col("root").alias("to")), "hub")
-    joined = components(extra.select("rep", F.col("to").alias("hub")))
-    joined = materialize(joined.withColumnRenamed("rep", "node").withColumnRenamed("root", "upper"), "joined")
-    every = roots.unionByName(joined.select(F.col("node").alias("rep"), F.col("node").alias("root"))).groupBy("rep").agg(F.min("root").alias("root"))
-    return every.join(joined, every.root == joined.node, "left").select("rep", F.coalesce("upper", "root").alias("root"))
+    return _merged(roots, materialize(_apart(members, bag.select("rep", "bag")), "apart"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(rep, root) of every node with a link; the root is the component's smallest node."""
     edges = materialize(links.select("rep", "hub").union(links.select("hub", "rep")).distinct(), "edges")
     labels = materialize(edges.groupBy("rep").agg(F.min("hub").alias("m")).select("rep", F.least("rep", "m").alias("root")), "labels0")
-    for round_no in range(1, 64):
+    round_no = 0
+    while True:  # labels only fall, and halve their distance to the end of a chain
+        round_no += 1
         near = edges.join(labels.select(F.col("rep").alias("hub"), "root"), "hub").groupBy("rep").agg(F.min("root").alias("near"))
         told = labels.join(near, "rep").select("rep", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         jumped = told.join(labels.select(F.col("rep").alias("root"), F.col("root").alias("up")), "root").select("rep", F.least("root", "up").alias("root"), "old")
@@ -334,7 +349,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("rep", "root")
         if new.where("root <> old").isEmpty():
             return labels
-    raise RuntimeError("labels did not settle")
 
 
 def classes(rows: DataFrame, text_col: str) -> DataFrame:

@@ -94,6 +94,48 @@ def test_near_link_beside_hub(spark):
     assert plain(near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "class_id", "class_size") == both(want)
 
 
+def test_near_pairs_among_strangers(spark):
+    """250 pairs, each like its twin (0.82) and nearly like all others (0.77) by a passage that all share."""
+    passage = [f"p{i}" for i in range(240)]
+    rows = []
+    for k in range(250):
+        own = [f"{k}a{i}" for i in range(20)]
+        rows += [(2 * k + side, " ".join(passage + own[:6] + [f"{k}s{side}b{i}" for i in range(22)] + own[6:])) for side in (0, 1)]
+    a, b, other = (bag(rows[k][1]) for k in (0, 1, 2))
+    assert 0.7 < similarity(a, other) < 0.8 <= similarity(a, b) < 0.85
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(d, d - d % 2, 2) for d, _ in rows}
+
+
+def test_near_recall_in_large_buckets(spark):
+    """600 edited copies whose similarities lie around 0.8, in chains and stars: the classes of all pairs."""
+    rng = np.random.default_rng(8)
+    rows, texts = [], [[f"w{i}" for i in range(200)]]
+    for k in range(600):
+        t = list(texts[int(rng.integers(max(0, len(texts) - 40), len(texts)))])
+        for i in rng.choice(200, int(rng.integers(1, 9)), replace=False).tolist():
+            t[i] = f"e{k}x{i}"
+        texts.append(t)
+        rows.append((k, " ".join(t)))
+    got = plain(near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "class_id", "class_size")
+    assert got == both(class_ids(rows))
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[bin(i).count("1") + flip & 1] for i in range(n))
+
+
+def test_words_with_polynomial_collisions(spark):
+    """Different words whose polynomial hashes modulo 2**64 agree are different shingles and tokens."""
+    words = [thue_morse(n, flip) for n in (1024, 2048, 4096) for flip in (0, 1)]
+    rows = [(k, w) for k, w in enumerate(words)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.class_id for r in got.collect()} == set(range(6))
+    scored = lm.lm_score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    train = {w for d, w in rows if not lm.held_out(d)}
+    assert {r.doc_id: r.n_known for r in scored} == {d: 1 + (w in train) for d, w in rows}
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(0)
     x, y = (Counter(rng.integers(0, 300, 400).tolist()) for _ in "ab")
