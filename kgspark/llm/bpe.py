@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import PartCoder
-from .common import text_buffers
+from .common import mapper, text_buffers
 
 MAX_STATES = 200_000
 MAX_PAIRS = 1_000_000
@@ -203,4 +203,4 @@ def bpe_digest(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 text_sha.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(mapper(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

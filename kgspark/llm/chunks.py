@@ -89,7 +89,7 @@ class PartCoder:
             out.append(value)
         return out
 
-    def documents(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21):
+    def documents(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
         """Yield the ids of each document in order, as uint32 arrays."""
         for i, j in doc_chunks(offsets, most):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]

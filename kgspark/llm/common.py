@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -59,6 +61,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers are reused, and their heaps would only grow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def mapper(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def given(f: Callable[..., pa.Table], *args: object) -> pa.Table:
+    """f(*args) for a group, after which memory is given back."""
+    try:
+        return f(*args)
+    finally:
+        give_back()
+
+
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a text column (one column-pruned aggregate, no shuffle of text)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()[0]

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapper
+
 PATH_DIM, WORD_DIM, MEASURES = 64, 32, 8
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
@@ -401,4 +403,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     slim = df.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    return slim.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return slim.mapInArrow(mapper(run), "page_id bigint, url string, text string, n_chars bigint")

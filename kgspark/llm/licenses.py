@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytesops import LOWER, WORD, word_spans
-from .common import doc_chunks, text_buffers
+from .common import doc_chunks, mapper, text_buffers
 
 PHRASES = {"mit": (b"mit", b"license"), "apache": (b"apache", b"license"), "gpl": (b"general", b"public", b"license")}
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -173,4 +173,4 @@ def license_scan(df: DataFrame, templates: dict[str, str] | None = None, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
-    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(mapper(run), schema)

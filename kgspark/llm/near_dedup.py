@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NOT_SPACE, mix, spans_hash, word_spans
-from .common import doc_chunks, materialize, text_buffers
+from .common import doc_chunks, mapper, materialize, text_buffers
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -192,9 +192,11 @@ def _bag(batches):
 
 
 def _verify(batches):
-    for batch in batches:
-        keep = [probability_jaccard(*_unpack(a), *_unpack(b)) >= SIMILARITY for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield batch.select(["rep", "hub"]).filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for i in range(0, whole.num_rows, 512):
+            batch = whole.slice(i, 512)
+            keep = [probability_jaccard(*_unpack(a), *_unpack(b)) >= SIMILARITY for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["rep", "hub"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _exhaust(batches):
@@ -234,7 +236,7 @@ def signed(df: DataFrame, text_col: str) -> DataFrame:
     """The rows (text_col a string) with a row number, digests and signature, written once."""
     column = df.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    out = df.mapInArrow(lambda batches: _sign(batches, column), f"{schema}, {OWN}n1 bigint, {OWN}n2 bigint, {OWN}sig array<int>")
+    out = df.mapInArrow(mapper(lambda batches: _sign(batches, column)), f"{schema}, {OWN}n1 bigint, {OWN}n2 bigint, {OWN}sig array<int>")
     return materialize(out.withColumn(OWN + "row", F.monotonically_increasing_id()), "signed")
 
 
@@ -260,7 +262,7 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     bag (its terms are at most the smaller share), so the first common shingle has that much from it on in
     both; in bags without repeats, 4/9 of the two sizes. Pairs meet at such shingles and are compared exactly.
     """
-    token = materialize(members.join(bag, "rep").select("rep", "root", "bag").mapInArrow(_tokens, "rep bigint, root bigint, token bigint, w bigint"), "tokens")
+    token = materialize(members.join(bag, "rep").select("rep", "root", "bag").mapInArrow(mapper(_tokens), "rep bigint, root bigint, token bigint, w bigint"), "tokens")
     df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
     onward = W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("rep")
@@ -271,14 +273,14 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     near = a.join(b, F.expr("a.token = b.token and a.root < b.root and coalesce(least(a.left, b.left) * 9 >= (a.size + b.size) * 4, true)"))
     near = near.select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep")).distinct()
     full = near.join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
-    return full.mapInArrow(_verify, "rep bigint, hub bigint")
+    return full.mapInArrow(mapper(_verify), "rep bigint, hub bigint")
 
 
 def _checked(asked: DataFrame, bag: DataFrame, tag: str) -> DataFrame:
     """The (rep, hub) pairs that are similar enough, written."""
     other = bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other"))
     full = asked.select("rep", "hub").distinct().join(bag, "rep").join(other, "hub").select("rep", "hub", "bag", "other")
-    return materialize(full.mapInArrow(_verify, "rep bigint, hub bigint"), tag)
+    return materialize(full.mapInArrow(mapper(_verify), "rep bigint, hub bigint"), tag)
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,12 +310,12 @@ def _roots(rows: DataFrame, text_col: str, reps: DataFrame) -> DataFrame:
     shared = materialize(spread.join(sizes, "key"), "buckets")
     popular = shared.groupBy(F.col("rep").alias(OWN + "row")).agg(F.sum("n").alias("pop"))
     actives = nodes.join(popular, OWN + "row").select(F.col(OWN + "row").alias("rep"), "pop", F.col(OWN + "n1").alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed_bag = actives.mapInArrow(_bag, "rep bigint, pop bigint, digest bigint, bag binary")
+    signed_bag = actives.mapInArrow(mapper(_bag), "rep bigint, pop bigint, digest bigint, bag binary")
     bag = materialize(signed_bag, "bags")
     sets = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members")
     sets = materialize(sets.distinct().withColumn("s", F.monotonically_increasing_id()), "sets")
     listed = sets.select("s", F.explode("members").alias("rep")).join(bag.select("rep", "bag"), "rep").select("s", "rep", "bag")
-    links = materialize(listed.repartition("s").sortWithinPartitions("s").mapInArrow(_exhaust, "rep bigint, hub bigint"), "small")
+    links = materialize(listed.repartition("s").sortWithinPartitions("s").mapInArrow(mapper(_exhaust), "rep bigint, hub bigint"), "small")
     crowd = shared.where(F.col("n") > SMALL).select("key", "rep")
     if crowd.isEmpty():
         return components(links)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import PartCoder
-from .common import materialize, text_buffers
+from .common import given, mapper, materialize, text_buffers
 
 CAPACITY = 4096
 GROUP_ITEMS = 16_384
@@ -77,7 +77,7 @@ def pieces(df: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(mapper(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def _pack_group(table: pa.Table, last: bool, capacity: int) -> pa.Table:
 
 def _packer(last: bool, capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        return _pack_group(table, last, capacity)
+        return given(_pack_group, table, last, capacity)
 
     return run
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import mix, rolling, window_min
-from .common import doc_chunks, text_buffers, total_bytes
+from .common import doc_chunks, given, text_buffers, total_bytes
 
 LENGTH = 100
 ANCHOR = 32
@@ -347,10 +347,10 @@ def _plan(df: DataFrame, id_col: str, text_col: str, length: int):
     steps = _Steps(id_col, text_col, length, buckets)
     docs = df.withColumn(OWN + "part", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(parts)).cast("bigint"))
     grouped = docs.groupBy(OWN + "part")
-    listed = grouped.applyInArrow(lambda key, t: steps.anchors(key, t), "part bigint, bucket bigint, keys binary")
-    told = listed.groupBy("bucket").applyInArrow(lambda t: steps.shared(t), "part bigint, keys binary")
-    sent = grouped.cogroup(told.groupBy("part")).applyInArrow(lambda key, a, b: steps.candidates(key, a, b), _WIDE)
-    spans = sent.groupBy("bucket").applyInArrow(lambda key, t: steps.matches(key, t), "part bigint, span_docs binary, span_starts binary, span_ends binary")
+    listed = grouped.applyInArrow(lambda key, t: given(steps.anchors, key, t), "part bigint, bucket bigint, keys binary")
+    told = listed.groupBy("bucket").applyInArrow(lambda t: given(steps.shared, t), "part bigint, keys binary")
+    sent = grouped.cogroup(told.groupBy("part")).applyInArrow(lambda key, a, b: given(steps.candidates, key, a, b), _WIDE)
+    spans = sent.groupBy("bucket").applyInArrow(lambda key, t: given(steps.matches, key, t), "part bigint, span_docs binary, span_starts binary, span_ends binary")
     return steps, docs, grouped, spans.groupBy("part")
 
 
@@ -362,10 +362,10 @@ def suffix_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     steps, _, grouped, spans = _plan(slim, "doc_id", "text", length)
-    return grouped.cogroup(spans).applyInArrow(lambda a, b: steps.digest(a, b), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return grouped.cogroup(spans).applyInArrow(lambda a, b: given(steps.digest, a, b), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The input's rows and columns with repeated bytes cut from the text (null texts stay null, texts may become empty)."""
     steps, docs, grouped, spans = _plan(df, id_col, text_col, length)
-    return grouped.cogroup(spans).applyInArrow(lambda a, b: steps.cut(a, b), docs.drop(OWN + "part").schema)
+    return grouped.cogroup(spans).applyInArrow(lambda a, b: given(steps.cut, a, b), docs.drop(OWN + "part").schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_root
+from .common import mapper, scratch_root
 
 LEAST_REVISIT = 1000
 END = b"\r\n\r\n"
@@ -202,7 +202,7 @@ def read_archive(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "file", "start", "end", "type", "id", "refers_to", "length", "digest", "reason"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(mapper(run), schema)
 
 
 def _ident(urn: str | None) -> str | None:
