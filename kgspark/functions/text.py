@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ SECTION_MARKS = ("[SECTION_START]", "[SECTION_END]", "[TABLE_JSON_START]", "[TAB
 BULLET = r"^\s*([-*•]|\d+\.)\s+"
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with ``value`` evaluated once a row, however often f uses it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """White space runs become one blank, ends are trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -16,7 +23,7 @@ def collapse(c: Column) -> Column:
 
 def normalize_label(c: Column) -> Column:
     """Language tags, quotes, camel case, acronyms, signs and case reduced to lower-case words."""
-    c = F.btrim(F.regexp_replace(c, r"(?i)@[a-z]{2,3}(-[a-z0-9]+)?$", ""), F.lit("\"'"))
+    c = F.btrim(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"(?i)@[a-z]{2,3}(-[a-z0-9]+)?$", ""), F.lit("\"'"))
     c = F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " ")
     c = F.regexp_replace(c, r"(?<=[A-Z])(?=[A-Z][a-z])", " ")
     c = F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"[_\-/]+", " ")
@@ -105,8 +112,9 @@ def definitions(c: Column) -> Column:
     lines = F.filter(F.split(c, "\n"), lambda x: x.contains(":"))
     pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("value"))
     pairs = F.filter(F.transform(lines, pair), lambda x: (x.key != "Answer") & (x.key != "") & (x.value != ""))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y.key == x.key))
-    return F.map_from_entries(last)
+    placed = F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.key.alias("key"), i.alias("i"), x.value.alias("value"))))
+    last = bind(placed, lambda s: F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i + 1).key == x.key, F.lit(False))))
+    return F.map_from_entries(F.transform(F.sort_array(F.transform(last, lambda x: F.struct(x.i, x.key, x.value))), lambda x: F.struct(x.key, x.value)))
 
 
 def choice_list(candidates: Column) -> Column:
@@ -126,5 +134,33 @@ def judge_label(c: Column) -> Column:
     return F.when(exact, up).when(up.contains("PARTIALLY"), "PARTIALLY_SUPPORTED").when(up.contains("UNSUPPORTED"), "UNSUPPORTED").when(up.contains("SUPPORTED"), "SUPPORTED").otherwise("UNSUPPORTED")
 
 
+def literal(c: Column) -> Column:
+    """A string as a Python literal: single quotes unless only those occur within."""
+    out = F.coalesce(c, F.lit(""))
+    for sign, escape in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(escape))
+    single = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(c.contains("'") & ~c.contains('"'), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(single)
+
+
+def judge_message(subject: Column, predicate: Column, object_: Column, snippet: Column, reason: Column) -> Column:
+    """What a judge is asked about a triple: its parts quoted, why it is novel, at most 600 characters of its source."""
+    text = strip(F.coalesce(snippet, F.lit("")))
+    triple = F.concat(F.lit("Triple: ["), literal(subject), F.lit(", "), literal(predicate), F.lit(", "), literal(object_), F.lit("]"))
+    why = F.when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit("Novelty reason: "), reason))
+    source = F.when(text == "", "(No source text snippet available.)").otherwise(F.concat(F.lit('Source text snippet:\n"""\n'), F.substring(text, 1, 600), F.lit('\n"""')))
+    return F.concat_ws("\n", triple, why, source)
+
+
+def text_to_embed(relation: Column, definition: Column, with_name: bool = True) -> Column:
+    return F.concat(relation, F.lit(": "), definition) if with_name else definition
+
+
+def snippet(c: Column, most: int = 500) -> Column:
+    return F.substring(F.coalesce(c, F.lit("")), 1, most)
+
+
+
+
 def sample_id(line: Column, s: Column, p: Column, o: Column) -> Column:
     return F.concat_ws("|", line.cast("string"), s, p, o)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import sections_of
-from ..functions.text import BULLET, collapse, newlines, sentences, strip
+from ..functions.text import BULLET, bind, collapse, newlines, sentences, strip
 
 CHUNK = "chunk_id string, section_id string, section_title string, chunk_type string, text string, span_start int, span_end int, merged boolean"
 
@@ -17,8 +19,12 @@ CHUNK = "chunk_id string, section_id string, section_title string, chunk_type st
 def windows(items: Column, size: int, overlap: int) -> Column:
     """Sliding windows of an array; the last ones may be shorter."""
     step = max(1, size - overlap)
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.least(i + size, F.size(items)).alias("end"), F.slice(items, i + 1, F.lit(size)).alias("items")))
+
+    def cut(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.least(i + size, F.size(a)).alias("end"), F.slice(a, i + 1, F.lit(size)).alias("items")))
+
+    return bind(items, cut)  # else the items would be made again for every window
 
 
 def sentence_windows(df: DataFrame, text: str = "text", size: int = 4, overlap: int = 1) -> DataFrame:
@@ -45,17 +51,16 @@ def char_windows(df: DataFrame, text: str = "text", size: int = 1000, overlap: i
 
 
 def pack_by_length(lines: list[str], most: int, overlap: int = 1) -> list[list[str]]:
-    """Runs of lines whose joined length is at most ``most`` (one longer line stands alone), each run starting ``overlap`` lines back."""
-    out, at = [], 0
-    while at < len(lines):
-        end, total = at + 1, len(lines[at])
-        while end < len(lines) and total + 1 + len(lines[end]) <= most:
-            total += 1 + len(lines[end])
-            end += 1
-        out.append(lines[at:end])
-        if end == len(lines):
-            break
-        at = max(at + 1, end - max(0, overlap))
+    """Runs of lines of at most ``most`` characters with their separators; each run starts ``overlap`` lines before the last's end.
+
+    A run has at least its first line. Where runs end follows from prefix sums, by bisection.
+    """
+    upto = [0, *accumulate(len(x) + 1 for x in lines)]
+    out, start = [], 0
+    while start < len(lines):
+        stop = max(start + 1, bisect_right(upto, upto[start] + most + 1) - 1)
+        out.append(lines[start:stop])
+        start = len(lines) if stop == len(lines) else max(start + 1, stop - max(0, overlap))
     return out
 
 
@@ -79,7 +84,7 @@ def section_chunks(number: int, section: dict, size: int, overlap: int, bullets:
     title, prefix, out = section["title"], _prefix(section["title"]), []
 
     def add(kind: str, text: str, a: int, b: int) -> None:
-        out.append({"section_id": f"section_{number:04d}", "section_title": title, "chunk_type": kind, "text": text, "span_start": a, "span_end": b, "merged": False})
+        out.append({"section_id": f"sec_{number:04d}", "section_title": title, "chunk_type": kind, "text": text, "span_start": a, "span_end": b, "merged": False})
 
     for t in section["tables"]:
         body = [x for x in t["lines"] if x.strip()]
@@ -112,35 +117,62 @@ def _joined(left: dict, right: dict) -> dict:
     return left | {"text": "\n".join(x for x in (a, b) if x), "merged": True}
 
 
+class _Merger:
+    """The rules by which short chunks join, for a least and a most length."""
+
+    def __init__(self, least: int, most: int):
+        self.least, self.room = least, most + max(120, int(0.35 * most))
+
+    @staticmethod
+    def size(chunk: dict) -> int:
+        return len(chunk["text"].strip())
+
+    def short(self, chunk: dict) -> bool:
+        return chunk["chunk_type"] in _TEXTUAL and self.size(chunk) < self.least
+
+    def join(self, left: dict, right: dict) -> dict | None:
+        """Both as one chunk with what describes the left one, or None if they must stay apart."""
+        textual = {left["chunk_type"], right["chunk_type"]} <= _TEXTUAL
+        if not textual or left["section_id"] != right["section_id"] or self.size(left) + self.size(right) + 1 > self.room:
+            return None
+        return _joined(left, right)
+
+    def poor(self, chunk: dict) -> bool:
+        body = chunk["text"].removeprefix(_prefix(chunk["section_title"])).strip().lower()
+        return self.short(chunk) and bool(_POOR_TITLE.search(chunk["section_title"].strip().lower()) or _POOR_TEXT.search(body))
+
+
 def merge_short(chunks: list[dict], least: int, most: int) -> list[dict]:
-    """Short text chunks join their neighbour in the section, first backward, then forward; poor leftovers go."""
+    """Short text chunks join the one before, else, once, the one after, of their section; poor ones that stay short go.
+
+    First each short chunk is offered to what stands before it; in the result a short
+    one waits for its successor.
+    """
     if least <= 0:
         return chunks
-    cap = most + max(120, int(0.35 * most))
-    size = lambda c: len(c["text"].strip())
-    short = lambda c: c["chunk_type"] in _TEXTUAL and size(c) < least
-    fits = lambda a, b: a["chunk_type"] in _TEXTUAL and b["chunk_type"] in _TEXTUAL and a["section_id"] == b["section_id"] and size(a) + size(b) < cap
-    back: list[dict] = []
-    for c in chunks:
-        if short(c) and back and fits(back[-1], c):
-            back[-1] = _joined(back[-1], c)
-        else:
-            back.append(c)
-    out, skip = [], False
-    for k, c in enumerate(back):
-        if skip:
-            skip = False
-        elif short(c) and k + 1 < len(back) and fits(c, back[k + 1]):
-            out.append(_joined(c, back[k + 1]))
-            skip = True
-        else:
-            out.append(c)
-
-    def poor(c: dict) -> bool:
-        body = c["text"].removeprefix(_prefix(c["section_title"])).strip().lower()
-        return short(c) and bool(_POOR_TITLE.search(c["section_title"].strip().lower()) or _POOR_TEXT.search(body))
+    rules = _Merger(least, most)
 
-    return [c for c in out if not poor(c)]
+    offered: list[dict] = []
+    for chunk in chunks:
+        one = rules.join(offered[-1], chunk) if offered and rules.short(chunk) else None
+        if one is None:
+            offered.append(chunk)
+        else:
+            offered[-1] = one
+    settled: list[dict] = []
+    waiting: dict | None = None
+    for chunk in [*offered, None]:
+        one = rules.join(waiting, chunk) if waiting and chunk else None
+        if one:
+            settled.append(one)
+            waiting = None
+            continue
+        if waiting:
+            settled.append(waiting)
+        waiting = chunk if chunk and rules.short(chunk) else None
+        if chunk and not waiting:
+            settled.append(chunk)
+    return [c for c in settled if not rules.poor(c)]
 
 
 def document_chunks(doc_id: str, text: str, size: int = 4, overlap: int = 1, bullets: int = 6, rows: int = 25, most: int = 1000, least: int = 120) -> list[dict]:
@@ -160,7 +192,7 @@ def adaptive_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.replace(F.trim("text"), F.lit("\n"), F.lit(" ")).alias("value"))
+    return chunks.select(F.replace(strip(F.col("text")), F.lit("\n"), F.lit(" ")).alias("value"))
 
 
 def marked_up(title: Column, body: Column) -> Column:

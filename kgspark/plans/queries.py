@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import models, parsing
@@ -14,12 +13,14 @@ from ..functions import text as X
 from ..operators import alignment as A
 from ..operators import canonicalize as C
 from ..operators import chunking as K
+from ..operators import evaluation as E
 from ..operators import layout as L
 from ..operators import metrics as M
 from ..operators import ontology as O
 from ..operators import retrieval as R
 from ..operators import spans as S
 from ..operators import triples as T
+from ..operators.ordering import global_index
 from ..sources.scratch import shared_folder
 from . import views as V
 from .pipeline import JobConfig, extract
@@ -135,12 +136,13 @@ def multiset_diff(spark, sf):
     return sides.select(F.lit("both").alias("kind"), *keys, both.alias("n")).where("n > 0").unionByName(sides.select(F.lit("removed").alias("kind"), *keys, less.alias("n")).where("n > 0"))
 
 
-FLAGS = f"""{{KG}}, best AS (SELECT p, gold_p FROM (SELECT p, gold_p, row_number() OVER (PARTITION BY p ORDER BY score DESC, gold_p) AS r FROM
+FLAGS_BODY = f"""best AS (SELECT p, gold_p FROM (SELECT p, gold_p, row_number() OVER (PARTITION BY p ORDER BY score DESC, gold_p) AS r FROM
  (SELECT DISTINCT pn.p, gn.p AS gold_p, 1.0 AS score FROM pn JOIN gn ON pn.p = gn.p UNION ALL SELECT DISTINCT pn.p, gold_p, score FROM pn JOIN align ON sys = pn.p WHERE score >= {THRESHOLD} AND gold_p IN (SELECT p FROM gn))) WHERE r = 1),
 f AS (SELECT pn.*, EXISTS (SELECT 1 FROM gold g WHERE g.subject = pn.subject AND g.predicate = pn.predicate AND g.object = pn.object) AS strict, EXISTS (SELECT 1 FROM gn WHERE gn.s = pn.s AND gn.p = pn.p AND gn.o = pn.o) AS normalized,
  pn.p IN (SELECT p FROM gn) AS known, best.gold_p AS rel FROM pn LEFT JOIN best ON best.p = pn.p),
 h AS (SELECT f.*, EXISTS (SELECT 1 FROM gn WHERE gn.p = f.rel AND gn.s = f.s) AS d, EXISTS (SELECT 1 FROM gn WHERE gn.p = f.rel AND gn.o = f.o) AS r FROM f),
 flags AS (SELECT *, CASE WHEN normalized THEN 'in_ontology' WHEN rel IS NULL THEN 'unknown_relation' ELSE (CASE WHEN known THEN 'known_relation' ELSE 'aligned_relation' END) || (CASE WHEN NOT d AND NOT r THEN '_but_subject_and_object_not_allowed' WHEN NOT d THEN '_but_subject_not_allowed' WHEN NOT r THEN '_but_object_not_allowed' ELSE '_and_arguments_allowed_but_triple_not_in_ontology' END) END AS reason FROM h)"""
+FLAGS = "{KG}, " + FLAGS_BODY
 
 
 def _flagged(spark, sf):
@@ -169,13 +171,32 @@ def coverage(spark, sf):
     return out.select("total", "distinct_triples", (F.col("total") - F.col("distinct_triples")).alias("duplicates"), "gold", "covered", F.round(F.try_divide("covered", "gold"), 6).alias("coverage"))
 
 
-CANDS = f"""{{KG}}, rc AS (SELECT p, gold_p, max(score) AS score FROM (SELECT DISTINCT pn.p, gn.p AS gold_p, 1.0::DOUBLE AS score FROM pn JOIN gn ON pn.p = gn.p UNION ALL SELECT DISTINCT pn.p, gold_p, score FROM pn JOIN align ON sys = pn.p WHERE score >= {THRESHOLD} AND gold_p IN (SELECT p FROM gn)) GROUP BY ALL),
+CANDS_BODY = f"""rc AS (SELECT p, gold_p, max(score) AS score FROM (SELECT DISTINCT pn.p, gn.p AS gold_p, 1.0::DOUBLE AS score FROM pn JOIN gn ON pn.p = gn.p UNION ALL SELECT DISTINCT pn.p, gold_p, score FROM pn JOIN align ON sys = pn.p WHERE score >= {THRESHOLD} AND gold_p IN (SELECT p FROM gn)) GROUP BY ALL),
 ge AS (SELECT s AS ge FROM gn UNION SELECT o FROM gn), pe AS (SELECT s AS pe FROM pn UNION SELECT o FROM pn),
 tok AS (SELECT ge, unnest(list_distinct(list_filter(string_split(ge, ' '), lambda x: x <> ''))) AS w FROM ge), ptok AS (SELECT pe, unnest(list_distinct(list_filter(string_split(pe, ' '), lambda x: x <> ''))) AS w FROM pe),
 cnt AS (SELECT pe, ge, count(*) AS n FROM ptok JOIN tok USING (w) GROUP BY ALL),
 ec AS (SELECT pe AS entity, ge AS gold_entity, n / ((SELECT count(*) FROM ptok t WHERE t.pe = cnt.pe) + (SELECT count(*) FROM tok t WHERE t.ge = cnt.ge) - n) AS score FROM cnt),
 ecs AS (SELECT * FROM ec WHERE score >= {THRESHOLD}),
-edges AS (SELECT pred_id, gn.s AS gs, gn.p AS gp, gn.o AS go, rc.score AS relation_score, a.score AS subject_score, b.score AS object_score, round((rc.score + a.score + b.score) / 3, 6) AS overall FROM pn JOIN rc ON rc.p = pn.p JOIN ecs a ON a.entity = pn.s JOIN ecs b ON b.entity = pn.o JOIN gn ON gn.s = a.gold_entity AND gn.p = rc.gold_p AND gn.o = b.gold_entity)"""
+edges AS (SELECT pred_id, gn.s AS gs, gn.p AS gp, gn.o AS go, rc.score AS relation_score, a.score AS subject_score, b.score AS object_score, (a.score + rc.score + b.score) / 3 AS overall FROM pn JOIN rc ON rc.p = pn.p JOIN ecs a ON a.entity = pn.s JOIN ecs b ON b.entity = pn.o JOIN gn ON gn.s = a.gold_entity AND gn.p = rc.gold_p AND gn.o = b.gold_entity)"""
+CANDS = "{KG}, " + CANDS_BODY
+# The walk over edges in falling order, one edge a step, with the lists of taken ends.
+RECORDS = f"""{{KG}}, {FLAGS_BODY}, {CANDS_BODY},
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY overall DESC, relation_score DESC, subject_score DESC, object_score DESC, pred_id, gp, gs, go) AS r, dense_rank() OVER (ORDER BY gs, gp, go) AS gid FROM edges),
+walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS ps, []::BIGINT[] AS gids, []::BIGINT[] AS rs UNION ALL
+ SELECT e.r, CASE WHEN e.free THEN list_append(e.ps, e.pred_id) ELSE e.ps END, CASE WHEN e.free THEN list_append(e.gids, e.gid) ELSE e.gids END, CASE WHEN e.free THEN list_append(e.rs, e.r) ELSE e.rs END
+ FROM (SELECT k.r, k.pred_id, k.gid, w.ps, w.gids, w.rs, NOT list_contains(w.ps, k.pred_id) AND NOT list_contains(w.gids, k.gid) AS free FROM walk w JOIN ranked k ON k.r = w.r + 1) e),
+m AS (SELECT * FROM ranked WHERE r IN (SELECT unnest(rs) FROM (SELECT rs FROM walk ORDER BY r DESC LIMIT 1))),
+al AS (SELECT pn.*, CASE WHEN p NOT IN (SELECT p FROM rc) THEN 'unknown_relation' WHEN s NOT IN (SELECT entity FROM ecs) OR o NOT IN (SELECT entity FROM ecs) THEN 'entity_mismatch' END AS not_alignable FROM pn),
+un AS (SELECT * FROM al WHERE not_alignable IS NULL AND pred_id NOT IN (SELECT pred_id FROM m)),
+causes AS (SELECT pred_id, CASE
+ WHEN EXISTS (SELECT 1 FROM gn JOIN ecs a ON a.entity = un.s AND gn.o = a.gold_entity JOIN ecs b ON b.entity = un.o AND gn.s = b.gold_entity JOIN rc ON rc.p = un.p AND rc.gold_p = gn.p) THEN 'direction_mismatch'
+ WHEN EXISTS (SELECT 1 FROM gn JOIN ecs a ON a.entity = un.s AND gn.s = a.gold_entity JOIN ecs b ON b.entity = un.o AND gn.o = b.gold_entity WHERE gn.p NOT IN (SELECT gold_p FROM rc WHERE rc.p = un.p)) THEN 'relation_mismatch'
+ WHEN EXISTS (SELECT 1 FROM gn JOIN rc ON rc.p = un.p AND rc.gold_p = gn.p WHERE gn.s IN (SELECT gold_entity FROM ecs WHERE entity = un.s) OR gn.o IN (SELECT gold_entity FROM ecs WHERE entity = un.o)) THEN 'entity_mismatch'
+ ELSE 'threshold_not_met' END AS cause FROM un),
+rec AS (SELECT x.pred_id, x.subject, x.predicate, x.object, x.s, x.p, x.o, x.normalized, al.not_alignable IS NULL AS alignable, m.pred_id IS NOT NULL AS matched, m.gs, m.gp, m.go, m.overall, m.subject_score, m.relation_score, m.object_score,
+ CASE WHEN m.pred_id IS NOT NULL THEN '' ELSE coalesce(cause, not_alignable) END AS reason_for_novelty, CASE WHEN NOT x.normalized THEN x.reason END AS legacy_reason, CASE WHEN NOT x.known THEN x.rel END AS mapped_predicate
+ FROM flags x JOIN al USING (pred_id) LEFT JOIN m USING (pred_id) LEFT JOIN causes USING (pred_id)),
+novel AS (SELECT * REPLACE (CASE WHEN normalized THEN 'known_relation_and_arguments_allowed_but_triple_not_in_ontology' ELSE legacy_reason END AS legacy_reason), alignable::INT AS branch FROM rec WHERE NOT matched)"""
 
 
 def _candidates(spark, sf, sequence=False):
@@ -202,62 +223,96 @@ def entity_candidates_sequence(spark, sf):
     return _candidates(spark, sf, True)[3]
 
 
-@query(f"WITH {CANDS} SELECT * FROM edges")
+@query(f"WITH {CANDS} SELECT * REPLACE (round(overall, 6) AS overall) FROM edges")
 def alignment_edges(spark, sf):
-    return A.edges(*_candidates(spark, sf))
-
-
-@query()
-def greedy_match(spark, sf):
-    return A.greedy_match(A.edges(*_candidates(spark, sf)))
+    return A.edges(*_candidates(spark, sf)).withColumn("overall", F.round("overall", 6))
 
 
-@query()
-def pr_f1(spark, sf):
-    preds, gold, rel, ents = _candidates(spark, sf)
-    found = A.greedy_match(A.edges(preds, gold, rel, ents)).agg(F.count("*").alias("m"))
-    alignable = _alignable(preds, rel, ents).agg(F.count_if("alignable").alias("a"))
-    total = gold.agg(F.count("*").alias("g"))
-    one = found.crossJoin(F.broadcast(alignable)).crossJoin(F.broadcast(total))  # one row each
-    return one.select(F.col("m").alias("matched"), F.col("a").alias("alignable"), F.col("g").alias("gold"), *M.prf(F.col("m"), F.col("a"), F.col("g")))
+def _evaluation(spark, sf):
+    """Token Jaccard alone, which SQL has too; predictions compete for gold triples here."""
+    return E.evaluate(V.predictions(spark, sf), V.gold(spark, sf), V.alignment(spark), THRESHOLD, THRESHOLD, sequence=False)
 
 
-def _alignable(preds, rel, ents):
-    r = rel.select("p").distinct().withColumn("_r", F.lit(True))
-    e = ents.select("entity").distinct()
-    out = preds.join(r, "p", "left").join(e.select(F.col("entity").alias("s"), F.lit(True).alias("_s")), "s", "left").join(e.select(F.col("entity").alias("o"), F.lit(True).alias("_o")), "o", "left")
-    why = F.when(F.col("_r").isNull(), "unknown_relation").when(F.col("_s").isNull() | F.col("_o").isNull(), "entity_mismatch")
-    return out.withColumns({"not_alignable": why, "alignable": why.isNull()}).drop("_r", "_s", "_o")
+@query(f"WITH RECURSIVE {RECORDS} SELECT pred_id, gs, gp, go, relation_score, subject_score, object_score, round(overall, 6) AS overall FROM m")
+def greedy_match(spark, sf):
+    return A.greedy_match(A.edges(*_candidates(spark, sf))).withColumn("overall", F.round("overall", 6))
 
 
-ALIGNABLE = f"""{CANDS}, al AS (SELECT pn.*, CASE WHEN p NOT IN (SELECT p FROM rc) THEN 'unknown_relation' WHEN s NOT IN (SELECT entity FROM ecs) OR o NOT IN (SELECT entity FROM ecs) THEN 'entity_mismatch' END AS not_alignable FROM pn)"""
+@query(f"""WITH RECURSIVE {RECORDS}, c AS (SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM al WHERE not_alignable IS NULL) AS alignable, (SELECT count(*) FROM gn) AS gold)
+SELECT matched, alignable, gold, round(matched / alignable, 6) AS precision, round(matched / gold, 6) AS recall, round(2 * (matched / alignable) * (matched / gold) / (matched / alignable + matched / gold), 6) AS f1 FROM c""")
+def pr_f1(spark, sf):
+    c = E.counts(_evaluation(spark, sf))
+    return c.select("matched", F.col("alignable_predictions").alias("alignable"), F.col("gold_total").alias("gold"), *M.prf(F.col("matched"), F.col("alignable_predictions"), F.col("gold_total")))
 
 
-@query(f"WITH {ALIGNABLE} SELECT coalesce(not_alignable, 'alignable') AS kind, count(*) AS n FROM al GROUP BY ALL")
+@query(f"WITH RECURSIVE {RECORDS} SELECT coalesce(not_alignable, 'alignable') AS kind, count(*) AS n FROM al GROUP BY ALL")
 def alignable_hist(spark, sf):
     preds, _, rel, ents = _candidates(spark, sf)
-    return _alignable(preds, rel, ents).groupBy(F.coalesce("not_alignable", F.lit("alignable")).alias("kind")).agg(F.count("*").alias("n"))
+    return E.alignable(preds, rel, ents).groupBy(F.coalesce("not_alignable", F.lit("alignable")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {ALIGNABLE}, un AS (SELECT * FROM al WHERE not_alignable IS NULL AND pred_id NOT IN (SELECT pred_id FROM edges))
-SELECT pred_id, CASE
- WHEN EXISTS (SELECT 1 FROM gn JOIN ecs a ON a.entity = un.s AND gn.o = a.gold_entity JOIN ecs b ON b.entity = un.o AND gn.s = b.gold_entity JOIN rc ON rc.p = un.p AND rc.gold_p = gn.p) THEN 'direction_mismatch'
- WHEN EXISTS (SELECT 1 FROM gn JOIN ecs a ON a.entity = un.s AND gn.s = a.gold_entity JOIN ecs b ON b.entity = un.o AND gn.o = b.gold_entity WHERE gn.p NOT IN (SELECT gold_p FROM rc WHERE rc.p = un.p)) THEN 'relation_mismatch'
- WHEN EXISTS (SELECT 1 FROM gn JOIN rc ON rc.p = un.p AND rc.gold_p = gn.p WHERE gn.s IN (SELECT gold_entity FROM ecs WHERE entity = un.s) OR gn.o IN (SELECT gold_entity FROM ecs WHERE entity = un.o)) THEN 'entity_mismatch'
- ELSE 'threshold_not_met' END AS cause FROM un""")
+@query(f"WITH RECURSIVE {RECORDS} SELECT pred_id, cause FROM causes")
 def diagnosis(spark, sf):
-    preds, gold, rel, ents = _candidates(spark, sf)
-    hit = A.edges(preds, gold, rel, ents).select("pred_id").distinct()
-    un = _alignable(preds, rel, ents).where("alignable").join(hit, "pred_id", "left_anti")
-    return A.diagnose(un, gold, rel, ents)
+    return _evaluation(spark, sf).records.where("alignable and not matched").select("pred_id", F.col("reason_for_novelty").alias("cause"))
 
 
-@query(f"WITH {ALIGNABLE} SELECT pred_id, 0 AS branch, not_alignable AS reason FROM al WHERE not_alignable IS NOT NULL UNION ALL SELECT pred_id, 1, 'no_gold_triple' FROM al WHERE not_alignable IS NULL AND pred_id NOT IN (SELECT pred_id FROM edges)")
+@query(f"WITH RECURSIVE {RECORDS} SELECT pred_id, branch, reason_for_novelty AS reason, legacy_reason FROM novel")
 def novel_records(spark, sf):
-    preds, gold, rel, ents = _candidates(spark, sf)
-    al = _alignable(preds, rel, ents)
-    hit = A.edges(preds, gold, rel, ents).select("pred_id").distinct()
-    return al.where("not alignable").select("pred_id", F.lit(0).alias("branch"), F.col("not_alignable").alias("reason")).unionAll(al.where("alignable").join(hit, "pred_id", "left_anti").select("pred_id", F.lit(1), F.lit("no_gold_triple")))
+    return _evaluation(spark, sf).novel.select("pred_id", "branch", F.col("reason_for_novelty").alias("reason"), "legacy_reason")
+
+
+@query(f"""WITH RECURSIVE {RECORDS} SELECT pred_id, NULL::BIGINT AS line_idx, NULL::VARCHAR AS doc_id, NULL::VARCHAR AS chunk_id, subject, predicate, object, alignable, matched, gs AS gold_subject, gp AS gold_predicate, go AS gold_object,
+round(overall, 6) AS overall_score, round(subject_score, 6) AS subject_score, round(relation_score, 6) AS relation_score, round(object_score, 6) AS object_score, reason_for_novelty, legacy_reason FROM rec""")
+def match_rows(spark, sf):
+    return E.match_rows(_evaluation(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {RECORDS}, n AS (SELECT *, (pred_id + 42) * 2654435761 % 4294967296 AS h, CASE WHEN reason_for_novelty = 'unknown_relation' OR legacy_reason = 'unknown_relation' THEN 0 WHEN contains(legacy_reason, 'not_allowed') THEN 1 ELSE 2 END AS st FROM novel),
+k AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, pred_id) AS r FROM n)
+SELECT concat_ws('|', '-1', subject, predicate, object) AS sample_id, NULL::VARCHAR AS doc_id, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS section_title, NULL::VARCHAR AS source_text_snippet, subject, predicate, object, reason_for_novelty, legacy_reason, '' AS human_label
+FROM (SELECT * FROM k WHERE r <= 100 ORDER BY CASE WHEN st < 2 AND r <= 50 THEN st ELSE 2 END, h, pred_id LIMIT 100)""")
+def review_sample(spark, sf):
+    return E.review_sample(_evaluation(spark, sf), 100, 42)
+
+
+TOP = "SELECT '{0}' AS scope, p AS predicate, count(*) AS count FROM {1} GROUP BY p ORDER BY count(*) DESC, min(branch), min(pred_id) LIMIT 200"
+
+
+@query(f"WITH RECURSIVE {RECORDS} SELECT * FROM ({TOP.format('total_predictions', '(SELECT *, 0 AS branch FROM rec)')}) UNION ALL SELECT * FROM ({TOP.format('novel_predictions', 'novel')})")
+def scoped_predicates(spark, sf):
+    return E.top_predicates(_evaluation(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {RECORDS} SELECT count(*) AS prediction_total, count(DISTINCT (subject, predicate, object)) AS prediction_triples_unique, count(*) - count(DISTINCT (subject, predicate, object)) AS prediction_triples_duplicates,
+count(*) FILTER (WHERE alignable) AS alignable_predictions, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE alignable AND NOT matched) AS unmatched_alignable, count(*) FILTER (WHERE NOT matched) AS novel_count,
+count(DISTINCT p) AS unique_predicates_total, count(DISTINCT p) FILTER (WHERE NOT matched) AS unique_predicates_novel, (SELECT count(*) FROM gn) AS gold_total, (SELECT count(DISTINCT p) FROM gn) AS ontology_relations_total,
+(SELECT count(*) FROM (SELECT s FROM gn UNION SELECT o FROM gn)) AS ontology_entities_total FROM rec""")
+def evaluation_counts(spark, sf):
+    return E.counts(_evaluation(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {RECORDS} SELECT round(avg(strict::INT), 6) AS strict_precision_exact_triple, round(avg(normalized::INT), 6) AS normalized_precision_exact_triple, round(avg(known::INT), 6) AS relation_valid_rate, round(avg((rel IS NOT NULL)::INT), 6) AS relation_valid_rate_semantic,
+round(avg((known AND d)::INT), 6) AS domain_valid_rate, round(avg(d::INT), 6) AS domain_valid_rate_semantic, round(avg((known AND r)::INT), 6) AS range_valid_rate, round(avg(r::INT), 6) AS range_valid_rate_semantic,
+round((SELECT count(*) FROM (SELECT s, p, o FROM pn INTERSECT SELECT s, p, o FROM gn)) / (SELECT count(*) FROM gn), 6) AS ontology_coverage_by_predictions FROM flags""")
+def legacy_metrics(spark, sf):
+    return E.legacy_metrics(_evaluation(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {RECORDS}, k AS (SELECT *, row_number() OVER (PARTITION BY reason_for_novelty ORDER BY pred_id)::INT AS example_ix, count(*) OVER (PARTITION BY reason_for_novelty) AS cause_count FROM rec WHERE alignable AND NOT matched)
+SELECT reason_for_novelty AS cause, cause_count, example_ix, pred_id, subject, predicate, object, NULL::VARCHAR AS doc_id, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS section_title FROM k WHERE example_ix <= 20""")
+def unmatched_examples(spark, sf):
+    return E.unmatched_examples(_evaluation(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT p, count(*) AS count FROM novel GROUP BY p ORDER BY count(*) DESC, min(branch), min(pred_id) LIMIT 20), k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY branch, pred_id)::INT AS example_ix FROM novel JOIN t USING (p))
+SELECT p AS top_predicate, count, example_ix, subject, predicate, object, reason_for_novelty FROM k WHERE example_ix <= 10""")
+def novel_examples(spark, sf):
+    return E.novel_examples(_evaluation(spark, sf))
+
+
+@query(f"WITH RECURSIVE {RECORDS} SELECT pred_id, subject, predicate, object, legacy_reason AS reason, mapped_predicate FROM rec WHERE NOT normalized ORDER BY pred_id LIMIT 50")
+def invalid_examples(spark, sf):
+    return E.invalid_examples(_evaluation(spark, sf))
 
 
 @query("WITH {KG} SELECT predicate, count(*) AS count FROM pred GROUP BY predicate ORDER BY count DESC, min(pred_id) LIMIT 200")
@@ -270,18 +325,6 @@ def reason_examples(spark, sf):
     return M.examples(_flagged(spark, sf), "reason", "pred_id", 20).select("reason", "example_ix", "pred_id", "subject", "predicate", "object")
 
 
-@query(f"WITH {FLAGS} SELECT pred_id, subject, predicate, object, reason FROM flags WHERE NOT (rel IS NOT NULL AND d AND r) ORDER BY pred_id LIMIT 50")
-def invalid_examples(spark, sf):
-    return _flagged(spark, sf).where("not (relation_semantic and domain_semantic and range_semantic)").orderBy("pred_id").limit(50).select("pred_id", "subject", "predicate", "object", "reason")
-
-
-@query(f"""WITH {FLAGS}, n AS (SELECT *, (pred_id + 42) * 2654435761 % 4294967296 AS h, CASE WHEN reason = 'unknown_relation' THEN 0 WHEN contains(reason, 'not_allowed') THEN 1 ELSE 2 END AS st FROM flags WHERE NOT normalized),
-k AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, pred_id) AS r FROM n)
-SELECT pred_id, reason FROM (SELECT * FROM k WHERE r <= 100 ORDER BY CASE WHEN st < 2 AND r <= 50 THEN st ELSE 2 END, h, pred_id LIMIT 100)""")
-def sample_hash(spark, sf):
-    return M.stratified_sample(_flagged(spark, sf).where("not normalized"), 100, 42).select("pred_id", "reason")
-
-
 LABEL = "CASE WHEN quality = 1 AND toxic = 0 THEN 'SUPPORTED' WHEN quality = 1 THEN 'I think PARTIALLY_SUPPORTED.' WHEN toxic = 0 THEN ' unsupported ' ELSE 'cannot say' END"
 
 
@@ -470,18 +513,10 @@ def benchmark_contained(spark, sf):
     return full.union(spaces.join(blank, "low").select("doc_id", "item_id"))
 
 
-@query("WITH {KG} SELECT s, p, o, (row_number() OVER (ORDER BY s, p, o) - 1)::INT AS gold_id FROM gn")
+@query("WITH {KG} SELECT s, p, o, (row_number() OVER (ORDER BY s, p, o) - 1) AS gold_id FROM gn")
 def gold_ids(spark, sf):
-    """Ids by lexicographic rank; an ontology is small, so one task orders it."""
-    return A.gold_norm(V.gold(spark, sf)).withColumn("gold_id", F.row_number().over(W.orderBy(*A.NORM)) - 1)
-
-
-@query("WITH {KG} SELECT predicate, scope, count FROM (SELECT predicate, 'total' AS scope, count(*) AS count FROM pred GROUP BY ALL UNION ALL SELECT predicate, 'novel', count(*) FROM pn WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM gn) GROUP BY ALL)")
-def scoped_predicates(spark, sf):
-    preds = A.with_norm(V.predictions(spark, sf))
-    novel = preds.join(A.gold_norm(V.gold(spark, sf)), A.NORM, "left_anti")
-    part = lambda df, s: M.most_common(df, "predicate", "pred_id", 200).withColumn("scope", F.lit(s))
-    return part(preds, "total").unionByName(part(novel, "novel")).select("predicate", "scope", "count")
+    """Ids by lexicographic rank over all rows, without a window that one task would order."""
+    return global_index(A.gold_norm(V.gold(spark, sf)), A.NORM, "gold_id")
 
 
 @query("SELECT doc_id, regexp_extract(source || '/' || lang || '#' || 'src:' || source, '[^#/:]+$', 0) AS name, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\b([A-Z])\\s+([a-z][a-zA-Z]+)\\b', '\\1\\2', 'g') AS fixed FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')".replace("\\\\", "\\"))

@@ -15,6 +15,10 @@ UNION ALL SELECT CAST(o_orderkey * 8 + 3 AS BIGINT), CAST(o_orderkey AS VARCHAR(
 UNION ALL SELECT CAST(p_partkey * 8 + 4 AS BIGINT), p_name, 'madeBy', p_brand FROM part
 UNION ALL SELECT CAST(s_suppkey * 8 + 5 AS BIGINT), n_name, 'located_in', s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 = 0
 UNION ALL SELECT CAST(s_suppkey * 8 + 6 AS BIGINT), s_name, 'delivers to', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 1
+UNION ALL SELECT CAST(s_suppkey * 8 + 7 AS BIGINT), upper(s_name), 'Located_In', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 = 0
+UNION ALL SELECT CAST(p_partkey * 8 + 800000000 AS BIGINT), p_brand, 'madeBy', p_name FROM part WHERE p_partkey % 100 = 0
+UNION ALL SELECT CAST(p_partkey * 8 + 800000001 AS BIGINT), p_brand, 'brandOf', p_name FROM part WHERE p_partkey % 50 = 0
+UNION ALL SELECT CAST(p_partkey * 8 + 800000002 AS BIGINT), p_brand, 'brand-of', upper(p_name) FROM part WHERE p_partkey % 150 = 0
 """
 GOLD_SQL = """
 SELECT n_name AS subject, 'part of' AS predicate, r_name AS object FROM nation JOIN region ON r_regionkey = n_regionkey
@@ -27,6 +31,7 @@ ALIGN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({s} AS DO
 
 def norm_sql(c: str) -> str:
     """The label form as DuckDB SQL (no look-around)."""
+    c = f"trim({c}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     c = f"trim(regexp_replace({c}, '@[a-z]{{2,3}}(-[a-z0-9]+)?$', '', 'i'), '\"''')"
     c = f"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
     c = f"replace(lower(replace(regexp_replace(replace({c}, '&', ' and '), '[_\\-/]+', ' ', 'g'), 'ß', 'ss')), 'ß', 'ss')"
