@@ -258,19 +258,24 @@ def _tokens(batches):
 def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     """Verified (rep, hub) pairs of different roots, all there are. members: rep, root.
 
-    Shingles are ordered from rare to frequent. A similarity of 0.8 needs a common weight of 0.8 of either
-    bag (its terms are at most the smaller share), so the first common shingle has that much from it on in
-    both; in bags without repeats, 4/9 of the two sizes. Pairs meet at such shingles and are compared exactly.
+    Shingles are ordered from rare to frequent. If P and Q are the shares of the two bags' weights that lie on
+    common shingles, the similarity is at most P Q / (P + Q - P Q): each of its terms is at most
+    1 / (1/p + (1 - Q)/q), a concave function of the shares p and q of one shingle. So 0.8 needs 1/P + 1/Q <= 2.25,
+    hence P, Q >= 0.8, and from the first common shingle on both bags must have that much left. In bags without
+    repeats the common number itself is bounded by what either has left. Pairs meet at such shingles and are
+    compared exactly.
     """
     token = materialize(members.join(bag, "rep").select("rep", "root", "bag").mapInArrow(mapper(_tokens), "rep bigint, root bigint, token bigint, w bigint"), "tokens")
     df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
     onward = W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("rep")
     ranked = token.join(df, "token").select("*", F.sum("w").over(onward).alias("left"), F.sum("w").over(whole).alias("total"), F.max("w").over(whole).alias("most"))
-    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "left", F.when(F.col("most") == 1, F.col("total")).alias("size"))
+    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "left", "total", (F.col("most") == 1).alias("plain"))
     ranked = materialize(ranked, "prefixes")
     a, b = ranked.alias("a"), ranked.alias("b")
-    near = a.join(b, F.expr("a.token = b.token and a.root < b.root and coalesce(least(a.left, b.left) * 9 >= (a.size + b.size) * 4, true)"))
+    near = a.join(b, F.expr(
+        "a.token = b.token and a.root < b.root and 9 * a.left * b.left >= 4 * (a.total * b.left + b.total * a.left) and (not (a.plain and b.plain) or least(a.left, b.left) * 9 >= (a.total + b.total) * 4)"
+    ))
     near = near.select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep")).distinct()
     full = near.join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
     return full.mapInArrow(mapper(_verify), "rep bigint, hub bigint")

@@ -121,6 +121,31 @@ def test_near_recall_in_large_buckets(spark):
     assert got == both(class_ids(rows))
 
 
+def test_similarity_is_bounded_by_common_shares():
+    """What the exact join prunes by: P Q / (P + Q - P Q) for the shares on common shingles."""
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        a, b = (np.unique(rng.integers(0, 14, int(rng.integers(2, 12))).astype(np.uint64)) for _ in "ab")
+        x, y = rng.integers(1, 6, len(a)), rng.integers(1, 6, len(b))
+        p, q = x[np.isin(a, b)].sum() / x.sum(), y[np.isin(b, a)].sum() / y.sum()
+        if p:
+            assert near_dedup.probability_jaccard(a, x, b, y) <= p * q / (p + q - p * q) + 1e-12
+
+
+def test_near_weighted_crowd(spark):
+    """A large bucket of copies with repeated shingles, similarities around 0.8: the classes of all pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)] * 2 + [f"v{i}" for i in range(60)]
+    rows = []
+    for k in range(300):
+        t = list(base)
+        for i in rng.choice(180, int(rng.integers(1, 12)), replace=False).tolist():
+            t[i] = f"e{k}x{i}"
+        rows.append((k, " ".join(t)))
+    got = plain(near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "class_id", "class_size")
+    assert got == both(class_ids(rows))
+
+
 def thue_morse(n, flip=0):
     return "".join("ab"[bin(i).count("1") + flip & 1] for i in range(n))
 
