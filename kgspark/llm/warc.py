@@ -1,9 +1,13 @@
-"""WARC archives: a writer on Spark's own file sinks and a salvaging reader.
+"""WARC archives: a writer of a gzip member a record, and a salvaging reader.
 
-Writing: a record is a string (headers, blank line, UTF-8 payload); Spark's text
-sink joins records by CRLF CRLF, which is the format's record end, and compresses.
-Reading: whole files come through Spark's binary source, so any store it knows will
-do. The parser accepts plain files, one gzip member for all, or a member a record.
+Writing: a record is a string (headers, blank line, UTF-8 payload). Python compresses
+it to a gzip member of its own (several for a very long one) and joins members to files
+of about ``FILE_BYTES``; Spark's text sink writes a file a row, so any store it knows
+will do. The sink ends a row with a separator: it is a zero byte, which is the last
+byte of the last member (the high byte of a length under 2**24).
+
+Reading: whole files come through Spark's binary source. The parser accepts plain
+files, one gzip member for all, or a member a record; time is linear in the file.
 When a check fails (member, version line, headers, length, record end or digest) it
 searches for the next member or version line, goes on from there, and logs the gap
 of bytes it left behind as a row of kind ``gap``.
@@ -16,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,61 +32,65 @@ LEAST_REVISIT = 1000
 END = b"\r\n\r\n"
 _VERSION = b"WARC/1."
 _GZIP = b"\x1f\x8b\x08"
-FILE_BYTES = 16 << 20
+FILE_BYTES = 32 << 20
+MEMBER_BYTES = 8 << 20
+HEADER_BYTES = 1 << 16
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the member at ``at`` holds, where it ends, and whether it is whole. Reads growing slices, not the rest of the file."""
+    machine, out, step, pos = zlib.decompressobj(31), [], 1 << 13, at
+    try:
+        while pos < len(data):
+            part = data[pos : pos + step]
+            out.append(machine.decompress(part))
+            pos += len(part)
+            if machine.eof:
+                return b"".join(out), pos - len(machine.unused_data), True
+            step = min(2 * step, 1 << 20)
+    except zlib.error:
+        pass
+    return b"".join(out), at, False
 
 
 def _members(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
-    """Yield ("data", start, end, bytes) of plain or inflated stretches, and ("gap", start, end, b"")."""
-    if not data.startswith(_GZIP):
-        if _VERSION in data[:64] or _GZIP not in data:
-            yield "data", 0, len(data), data
-            return
-    at, bad = 0, None
+    """Yield ("data", start, end, bytes) of plain or inflated stretches, ("cut", start, start, bytes) of what a damaged
+    member gave, and ("gap", start, end, b"")."""
+    if not data.startswith(_GZIP) and (_VERSION in data or _GZIP not in data):
+        yield "data", 0, len(data), data
+        return
+    at, lost = 0, 0  # data[lost:at] belongs to no whole member
+
+    def left(end: int) -> Iterator[tuple[str, int, int, bytes]]:
+        if data[lost:end].strip(b"\0\r\n"):
+            plain = data[lost:end]
+            yield ("data", lost, end, plain) if _VERSION in plain else ("gap", lost, end, b"")
+
     while at < len(data):
         if data.startswith(_GZIP, at):
-            machine = zlib.decompressobj(31)
-            try:
-                out = machine.decompress(data[at:]) + machine.flush()
-                whole = machine.eof
-            except zlib.error:
-                out, whole = b"", False
+            part, end, whole = _inflate(data, at)
             if whole:
-                if bad is not None:
-                    yield "gap", bad, at, b""
-                    bad = None
-                end = len(data) - len(machine.unused_data)
-                yield "data", at, end, out
-                at = end
+                yield from left(at)
+                yield "data", at, end, part
+                at = lost = end
                 continue
-            partial = _inflate_some(data, at)
-            if partial and _VERSION in partial:
-                if bad is not None:
-                    yield "gap", bad, at, b""
-                yield "data", at, at, partial  # what could be read; its records are checked on their own
-            bad = at if bad is None or partial else bad
-        else:
-            bad = at if bad is None else bad
+            if _VERSION in part:
+                yield from left(at)
+                yield "cut", at, at, part
+                lost = at
         nxt = data.find(_GZIP, at + 1)
         at = len(data) if nxt < 0 else nxt
-    if bad is not None:
-        yield "gap", bad, len(data), b""
+    yield from left(len(data))
 
 
-def _inflate_some(data: bytes, at: int, step: int = 1 << 12) -> bytes:
-    machine, out = zlib.decompressobj(31), []
-    try:
-        for i in range(at, len(data), step):
-            out.append(machine.decompress(data[i : i + step]))
-            if machine.eof:
-                break
-    except zlib.error:
-        pass
-    return b"".join(out)
+class ShortBlock(ValueError):
+    """The data ends within a record's block."""
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at ``at``: headers by lower-case name, block, and where it ends. ValueError if a check fails."""
-    stop = data.find(END, at)
+    stop = data.find(END, at, at + HEADER_BYTES)
     if stop < 0 or not data.startswith(_VERSION, at):
         raise ValueError("no version line or header end")
     head = data[at:stop].decode("utf-8", "replace").split("\r\n")
@@ -97,8 +106,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     end = start + int(fields["content-length"])
     block = data[start:end]
     if len(block) < end - start:
-        raise ValueError("the block is cut short")
-    if data[end : end + 4] not in (END, b"") and data[end:].strip(b"\r\n"):
+        raise ShortBlock("the block is cut short")
+    if data[end : end + 4] != END and (len(data) - end > 4 or data[end:].strip(b"\r\n")):
         raise ValueError("no record end after the block")
     digest = fields.get("warc-block-digest", "")
     if digest.startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest[5:]:
@@ -111,24 +120,50 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes,
     """Yield (kind, start, end, headers, block, reason) of records and quarantined gaps.
 
     Offsets of records count in the inflated stretch, those of gaps between members
-    in the file. Every byte belongs to a record, to white space, or to a gap.
+    in the file. Every byte belongs to a record, to white space, or to a gap. A record
+    may go on in the next member.
     """
+    held = b""  # the end of the last stretch: a record that is not complete yet
     for kind, a, b, part in _members(data):
         if kind == "gap":
+            yield from _records(held, last=True)
+            held = b""
             yield "gap", a, b, {}, b"", "no valid member"
             continue
-        at = 0
-        while at < len(part):
-            try:
-                fields, block, end = parse_record(part, at)
-            except ValueError as e:
-                nxt = part.find(_VERSION, at + 1)
-                end = len(part) if nxt < 0 else nxt
-                if part[at:end].strip(b"\r\n"):
-                    yield "gap", at, end, {}, b"", str(e)
+        if held and part.startswith(_VERSION):
+            yield from _records(held, last=True)
+            held = b""
+        whole, held = held + part, b""
+        for found in _records(whole, last=kind == "cut"):
+            if found[0] == "rest":
+                held = found[4]
             else:
-                yield "record", at, end, fields, block, ""
+                yield found
+    yield from _records(held, last=True)
+
+
+def _records(part: bytes, last: bool) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+    """Records and gaps of a stretch. Unless it is the last, an incomplete record at its end comes as ("rest", ..., its bytes, "")."""
+    at = 0
+    while at < len(part):
+        try:
+            fields, block, end = parse_record(part, at)
+        except ShortBlock as e:
+            if not last:
+                yield "rest", at, len(part), {}, part[at:], ""
+                return
+            why = str(e)
+        except ValueError as e:
+            why = str(e)
+        else:
+            yield "record", at, end, fields, block, ""
             at = end
+            continue
+        nxt = part.find(_VERSION, at + 1)
+        end = len(part) if nxt < 0 else nxt
+        if part[at:end].strip(b"\r\n"):
+            yield "gap", at, end, {}, b"", why
+        at = end
 
 
 def with_revisits(pages: DataFrame, id_col: str, payload: Column) -> DataFrame:
@@ -152,7 +187,9 @@ def with_revisits(pages: DataFrame, id_col: str, payload: Column) -> DataFrame:
 
 
 def record_strings(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """One ``value`` string a row: a response with its payload, or a revisit without one."""
+    """One ``value`` string a row: a response with its payload, or a revisit without one. All have the time of the call as date."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def clean(c: Column) -> Column:
         return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\r\n]", " ")
 
@@ -163,7 +200,9 @@ def record_strings(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:kgspark:page:"), ident, F.lit(">")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), clean(F.col(url_col))),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("WARC-Payload-Digest: sha1-hex:"), F.col("__kgspark_sha")),
         F.concat(F.lit("WARC-Payload-Length: "), size.cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:kgspark:page:"), refers.cast("string"), F.lit(">"))),
@@ -172,8 +211,37 @@ def record_strings(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return df.select(F.concat(F.array_join(F.array_compact(F.array(*lines)), "\r\n"), F.lit("\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("__kgspark_html"))).alias("value"))
 
 
-def write_archive(records: DataFrame, path: str, compression: str = "gzip", max_records: int = 2000) -> None:
-    records.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", max_records).mode("errorifexists").text(path)
+def members(record: bytes) -> bytes:
+    """A record as one gzip member; a longer one as several, each of under 2**24 bytes."""
+    out = []
+    for at in range(0, max(len(record), 1), MEMBER_BYTES):
+        machine = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(machine.compress(record[at : at + MEMBER_BYTES]) + machine.flush())
+    return b"".join(out)
+
+
+def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the ``value`` strings as archives of about ``file_bytes`` (one longer record makes a longer file)."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])  # the sink adds the last byte
+
+        for batch in batches:
+            for value in batch.column(0):
+                part = members(value.as_py().encode("utf-8", "surrogatepass") + END)
+                held.append(part)
+                size += len(part)
+                if size >= file_bytes:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
+
+    raw = records.select("value").mapInArrow(mapper(run), "value binary").select(F.col("value").cast("string").alias("value"))
+    raw.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
 
 
 def read_archive(spark, path: str) -> DataFrame:
@@ -213,15 +281,17 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     """Write a record per row into archives on shared storage and read them back; one row per record.
 
     Null html is an empty payload, a null id comes back as null, an empty table gives no rows.
+    Bytes that fail a check on the way back end the query with an error that names them.
     """
     spark = pages.sparkSession
     slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     path = f"{scratch_root(spark)}/kgspark/{uuid.uuid4().hex}-warc"
     marked = with_revisits(slim, "page_id", F.coalesce("html", F.lit("")))
     write_archive(record_strings(marked, "page_id", "url"), path)
-    back = read_archive(spark, path).where("kind = 'record'")
+    back = read_archive(spark, path)
+    lost = F.raise_error(F.concat(F.lit("unreadable bytes in "), "file", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "reason"))
     return back.select(
-        F.col("id").try_cast("bigint").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.when(F.col("kind") == "record", F.col("id").try_cast("bigint")).otherwise(lost.cast("bigint")).alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").try_cast("bigint").alias("refers_to"),
     )
 
