@@ -270,11 +270,13 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     onward = W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("rep")
     ranked = token.join(df, "token").select("*", F.sum("w").over(onward).alias("left"), F.sum("w").over(whole).alias("total"), F.max("w").over(whole).alias("most"))
-    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "left", "total", (F.col("most") == 1).alias("plain"))
+    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "df", "left", "total", (F.col("most") == 1).alias("plain"))
+    rarer = F.lead("token").over(W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")))
+    ranked = ranked.withColumn("before", rarer).drop("df")  # a pair with the same token before meets there already
     ranked = materialize(ranked, "prefixes")
     a, b = ranked.alias("a"), ranked.alias("b")
     near = a.join(b, F.expr(
-        "a.token = b.token and a.root < b.root and 9 * a.left * b.left >= 4 * (a.total * b.left + b.total * a.left) and (not (a.plain and b.plain) or least(a.left, b.left) * 9 >= (a.total + b.total) * 4)"
+        "a.token = b.token and a.root < b.root and not coalesce(a.before = b.before, false) and 9 * a.left * b.left >= 4 * (a.total * b.left + b.total * a.left) and (not (a.plain and b.plain) or least(a.left, b.left) * 9 >= (a.total + b.total) * 4)"
     ))
     near = near.select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("rep")).distinct()
     full = near.join(bag, "rep").join(bag.select(F.col("rep").alias("hub"), F.col("bag").alias("other")), "hub").select("rep", "hub", "bag", "other")
