@@ -32,7 +32,6 @@ from .common import given, mapper, materialize, text_buffers
 CAPACITY = 4096
 GROUP_ITEMS = 16_384
 FAN_IN = 16
-MAX_RELEASED = 2_048
 
 
 class WordTokenizer:
@@ -141,7 +140,7 @@ def _pack_group(table: pa.Table, last: bool, capacity: int) -> pa.Table:
     if not last and used:
         gap = used - lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used)
-        give = min(used, 1 + 8 * gap, MAX_RELEASED)
+        give = min(used, 1 + 8 * gap)
         again = np.isin(bins, np.argsort(fill, kind="stable")[:give])
     return table.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again))
 
@@ -154,13 +153,13 @@ def _packer(last: bool, capacity: int):
 
 
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to materialised pieces; rounds are written as they end."""
+    """Add ``sequence_id`` and ``offset`` to materialised pieces with a column ``row`` that tells them apart; rounds are written as they end."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, grp bigint, bin bigint, offset bigint, again boolean"
     full = items.where(F.col("length") == capacity).select(*columns, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = items.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_items))
-    rest = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(groups)))
+    rest = rest.select(*columns, F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"))  # by row: equal rows are dealt as well
     done, round_no = full, 0
     while True:
         last = groups == 1
@@ -176,4 +175,4 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, group_items: int = G
 
 def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece."""
-    return pack_pieces(materialize(pieces(df, path, end_id, capacity, id_col, text_col), "pieces"), capacity)
+    return pack_pieces(materialize(pieces(df, path, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from .conftest import DATA, both, edge_rows, plain
 
@@ -162,7 +163,7 @@ def test_packing_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ITEMS", 64)
     rng = np.random.default_rng(1)
     lengths = np.concatenate([rng.integers(1, 4097, 1500), rng.integers(1, 400, 1500)]).tolist()
-    items = spark.createDataFrame([(k, 0, 0, int(n), k) for k, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    items = spark.createDataFrame([(k, 0, 0, int(n), k) for k, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").withColumn("row", F.col("doc_id"))
     rows = packing.pack_pieces(items, group_items=64).collect()
     assert sorted(r.doc_id for r in rows) == list(range(3000))
     fill = defaultdict(int)
@@ -172,6 +173,14 @@ def test_packing_rounds(spark, monkeypatch):
     assert len(fill) <= packing.lower_bound(np.array(lengths)) * 1.02 + 1
 
 
+def test_packing_equal_rows(spark, monkeypatch):
+    """Rows that are equal in all columns are dealt to all partitions."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 64)
+    docs = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(rows) == 2000 and len({(r.sequence_id, r.offset) for r in rows}) == 2000 and len({r.sequence_id for r in rows}) == 1
+
+
 def test_lower_bound_is_sound():
     rng = random.Random(2)
     for _ in range(60):
