@@ -14,27 +14,33 @@ TRIPLES = "array<array<string>>"
 _TRIPLES = T.ArrayType(T.ArrayType(T.StringType()))
 
 
-def literal_triples(c: Column) -> Column:
-    """Triples of a list literal in JSON or single-quoted form; the slow parser runs only where the fast one fails."""
+def literal_triples(c: Column, strip: bool = True) -> Column:
+    """Triples of a list literal in JSON or single-quoted form; the slow parser runs only where the fast one fails.
+
+    The fast one keeps white space within strings; so does the slow one unless ``strip``.
+    """
     fast = F.from_json(c, TRIPLES, {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
-    return F.coalesce(fast, F.when(fast.isNull() & c.isNotNull(), _literal(c)))
+    return F.coalesce(fast, F.when(fast.isNull() & c.isNotNull(), _literal(c) if strip else _literal_raw(c)))
 
 
-def _strings(value) -> list[list[str]]:
+def _strings(text: str, strip: bool) -> list[list[str]] | None:
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
     if not isinstance(value, (list, tuple)):
         return []
-    return [[str(x).strip() for x in t] for t in value if isinstance(t, (list, tuple))]
+    return [[str(x).strip() if strip else str(x) for x in t] for t in value if isinstance(t, (list, tuple))]
 
 
 @F.pandas_udf(_TRIPLES)
 def _literal(values: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            return _strings(ast.literal_eval(text))
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+    return values.map(lambda t: _strings(t, True))
 
-    return values.map(one)
+
+@F.pandas_udf(_TRIPLES)
+def _literal_raw(values: pd.Series) -> pd.Series:
+    return values.map(lambda t: _strings(t, False))
 
 
 def bracket_spans(text: str) -> list[tuple[int, int]]:

@@ -76,7 +76,8 @@ def normalize_header(c: Column, index: Column) -> Column:
 
 
 def fix_spaced_word(c: Column) -> Column:
-    return F.regexp_replace(c, r"\b([A-Z])\s+([a-z][a-zA-Z]+)\b", "$1$2")
+    """A lone capital joins the word after it; white space is Unicode's."""
+    return F.regexp_replace(c, r"\b([A-Z])[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+([a-z][a-zA-Z]+)\b", "$1$2")
 
 
 def local_name(c: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sample_id
+from ..functions.text import sample_id, snippet
 from ..sources.scratch import checkpointed
 from . import alignment as A
 from . import metrics as M
@@ -28,6 +28,12 @@ REVIEW_COLUMNS = ["sample_id", "doc_id", "chunk_id", "section_title", "source_te
 _CONTEXT = {"line_idx": "bigint", "doc_id": "string", "chunk_id": "string", "section_title": "string", "source_text_snippet": "string"}
 
 
+def with_stages(preds: DataFrame, stages: DataFrame) -> DataFrame:
+    """Predictions (with line_idx) and what the stage record of their line says; lines without a record keep nulls."""
+    told = stages.select(F.col("index").alias("line_idx"), "doc_id", "chunk_id", "section_title", F.col("input_text"))
+    return preds.join(told, "line_idx", "left").withColumn("source_text_snippet", snippet(F.col("input_text"))).drop("input_text")
+
+
 def alignable(preds: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Add ``alignable`` and, where it is false, ``not_alignable``: unknown_relation or entity_mismatch."""
     r = relations.select("p").distinct().withColumn("_r", F.lit(True))

@@ -74,6 +74,21 @@ def text_lines(words: DataFrame, page: str = "page", tolerance: float = 3) -> Da
     return words.select(page, "text", "x0", "top").groupBy(page).applyInPandas(run, f"{page} bigint, line int, text string")
 
 
+def inline_anchors(lines: DataFrame, anchors: DataFrame, page: str = "page") -> DataFrame:
+    """(page, band, seq, kind, text): anchors of tables among the text lines of their page and band by height, an anchor before a line of its height.
+
+    lines has page, band, top, text; anchors page, band, top, anchor.
+    """
+    both = lines.select(page, "band", "top", F.lit("line").alias("kind"), "text").unionByName(anchors.select(page, "band", "top", F.lit("anchor").alias("kind"), F.col("anchor").alias("text")))
+    order = W.partitionBy(page, "band").orderBy("top", "kind", "text")
+    return both.select(page, "band", (F.row_number().over(order) - 1).alias("seq"), "kind", "text")
+
+
+def words_outside(words: DataFrame, boxes: DataFrame, key: str, page: str = "page") -> DataFrame:
+    """Words in no box of their page."""
+    return words.join(words_in_boxes(words, boxes, page=page).select(key).distinct(), key, "left_anti")
+
+
 def kept_separators(tops: list[float], gap: float = 5) -> list[float]:
     out: list[float] = []
     for top in sorted(tops):
@@ -83,12 +98,17 @@ def kept_separators(tops: list[float], gap: float = 5) -> list[float]:
 
 
 def unique_headers(names: list[str]) -> list[str]:
-    """Repeated names get _2, _3, ... that no other has taken."""
+    """Repeated names get _2, _3, ...: the first that no name before has taken."""
     out: list[str] = []
-    times: dict[str, int] = {}
+    taken: set[str] = set()
     for name in names:
-        times[name] = times.get(name, 0) + 1
-        out.append(name if times[name] == 1 else f"{name}_{times[name]}")
+        free = name
+        number = 2
+        while free in taken:
+            free = f"{name}_{number}"
+            number += 1
+        taken.add(free)
+        out.append(free)
     return out
 
 

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def round_even(c: Column, digits: int = 6) -> Column:
+    """Rounded half to even, as binary floats usually are; SQL's round goes half up."""
+    return F.bround(c, digits)
+
+
 def rate(flag: Column) -> Column:
     return F.round(F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)), 6)
 

@@ -147,6 +147,33 @@ def gold_triples(statements: DataFrame, names: DataFrame | None = None) -> DataF
     return pairs.select(F.col("d").alias("subject"), local_name(F.col("prop")).alias("predicate"), F.col("r").alias("object")).distinct()
 
 
+def subclass_triples(statements: DataFrame, names: DataFrame) -> DataFrame:
+    """(subject, predicate, object) of rdfs:subClassOf between two named classes. names: uri, name."""
+    n = names.select("uri", "name").distinct()
+    sub = statements.where(F.col("p") == "rdfs:subClassOf").join(n.select(F.col("uri").alias("s"), F.col("name").alias("subject")), "s")
+    both = sub.join(n.select(F.col("uri").alias("o"), F.col("name").alias("object")), "o")
+    return both.select("subject", F.lit("subClassOf").alias("predicate"), "object").distinct()
+
+
+def name_overlap(system: DataFrame, gold: DataFrame, column: str = "relation") -> DataFrame:
+    """One row: distinct names of either side and of both."""
+    a, b = system.select(column).distinct(), gold.select(column).distinct()
+    marked = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), column, "full")
+    return marked.agg(F.count("a").alias("system"), F.count("b").alias("gold"), F.count_if(F.col("a") & F.col("b")).alias("overlap"))
+
+
+def definition_lists(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, definitions): all definitions of a key in order."""
+    return rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("definitions"))
+
+
+def longest_comment(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, definition, warning): the longest comment after collapsing white space, ties by order; keys without one warn."""
+    clean = rows.select(key, F.nullif(collapse(F.col(text)), F.lit("")).alias("t"), F.col(order).alias("o"))
+    best = clean.groupBy(key).agg(F.min(F.when(F.col("t").isNotNull(), F.struct((-F.length("t")).alias("n"), "o", "t"))).alias("b"))
+    return best.select(key, F.col("b.t").alias("definition"), F.when(F.col("b").isNull(), F.lit("no comment")).alias("warning"))
+
+
 def relation_name_ok(c: Column) -> Column:
     return ~c.contains("?") & (~c.startswith("rel") | c.startswith("relTo"))
 

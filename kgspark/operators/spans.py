@@ -9,11 +9,14 @@ with the wrong type. Word splitting is on letters and digits.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_qualifier, normalize_span
+
 SLOTS = ("SUB", "PRED", "OBJ")
 SCHEMES = ("strict", "exact", "partial", "ent_type")
 COUNTS = ("correct", "incorrect", "partial", "missed", "spurious")
@@ -114,6 +117,26 @@ def entry_counts(reference: list[list[str]], predicted: list[list[str]]) -> list
     return [(s, k, c) for (s, k), c in tally.items()]
 
 
+def paired_lines(predicted: DataFrame, gold: DataFrame, key: str = "line_ix", max_length_diff: int | None = None) -> DataFrame:
+    """(key, predicted, gold): lines of both, without those whose prediction has an item that is not three strings, or whose lengths differ by more."""
+    both = predicted.select(key, F.col("triples").alias("predicted")).join(gold.select(key, F.col("triples").alias("gold")), key)
+    good = F.forall("predicted", lambda t: (F.size(t) == 3) & ~F.exists(t, lambda e: e.isNull()))
+    out = both.where(good)
+    return out if max_length_diff is None else out.where(F.abs(F.size("predicted") - F.size("gold")) <= max_length_diff)
+
+
+def plain_letters(c: F.Column) -> F.Column:
+    """Latin letters without their marks, by a translation of those of Unicode's Latin-1 and Latin Extended-A blocks."""
+    marked = [chr(k) for k in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(k))[0]) == 1 and unicodedata.normalize("NFKD", chr(k))[0].isascii()]
+    return F.translate(c, "".join(marked), "".join(unicodedata.normalize("NFKD", x)[0] for x in marked))
+
+
+def span_triple(triple: F.Column) -> F.Column:
+    """The three parts in the scorer's form; the object without one bracketed end."""
+    form = lambda x: plain_letters(normalize_span(x))
+    return F.array(form(triple[0]), form(triple[1]), drop_qualifier(form(triple[2])))
+
+
 def span_scores(entries: DataFrame, key: str, reference: str, predicted: str) -> DataFrame:
     """(scheme, slot, counts, precision, recall, f1): sums of counts and means of entries' scores; slot ALL joins the three."""
     schema = "array<struct<scheme:string,slot:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.text import collapse, normalize_label
 from ..operators.ontology import last_definition, read_turtle
+from ..operators.ordering import global_index
 
 
 def documents(spark: SparkSession, path: str, mode: str = "all_combined") -> DataFrame:
@@ -20,9 +23,15 @@ def documents(spark: SparkSession, path: str, mode: str = "all_combined") -> Dat
     files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_path"))
     if files.isEmpty():
         raise FileNotFoundError(f"no documents under {path}")
+    files = files.orderBy("source_path")
     return files.select(F.regexp_extract("source_path", r"([^/]*?)(\.[^./]*)?$", 1).alias("doc_id"), "source_path", F.col("value").alias("text"))
 
 
+def _place() -> Column:
+    """Where a row stands: its file's path, the block within it, then the order within the task. Spark deals files to tasks by size."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def line_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("text"))
 
@@ -30,13 +39,18 @@ def line_texts(spark: SparkSession, path: str) -> DataFrame:
 def target_schema(spark: SparkSession, path: str) -> DataFrame:
     """(ord, relation, definition) of a two-column CSV: the last definition counts, at the relation's first place."""
     rows = spark.read.schema("relation string, definition string").option("header", "false").option("escape", '"').csv(path)
-    return last_definition(rows.where("relation is not null").withColumn("_n", F.monotonically_increasing_id()), "relation", "definition", "_n")
+    last = last_definition(rows.withColumn("_n", _place()).where("relation is not null"), "relation", "definition", "_n")
+    return global_index(last, ["ord"], "_ord").select(F.col("_ord").alias("ord"), "relation", "definition")
 
 
 def triple_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(line_ix, triples, warning): a list literal per non-empty line. Bad lines and items warn, or raise if ``strict``."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("line_ix", F.monotonically_increasing_id())
-    read = lines.withColumn("_t", parsing.literal_triples(F.col("value")))
+    placed = spark.read.text(path).withColumn("_n", _place()).where(F.trim("value") != "")
+    lines = global_index(placed, ["_n"], "line_ix").drop("_n")
+    if strict:
+        read = lines.withColumn("_t", parsing.literal_triples(F.col("value"), strip=False))
+    else:
+        read = lines.withColumn("_t", parsing.literal_triples(F.col("value")))
     three = lambda t: F.size(t) == 3
     bad = F.col("_t").isNull() | F.exists("_t", lambda t: ~three(t))
     if strict:
@@ -47,8 +61,11 @@ def triple_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 
 def ontology_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct (subject, predicate, object) of all lines of a triple file; an empty one is an error."""
-    rows = triple_lines(spark, path).select(F.explode("triples").alias("t")).select(*(F.col("t")[k].alias(c) for k, c in enumerate(("subject", "predicate", "object")))).distinct()
+    """Distinct (subject, predicate, object) of all lines of a triple file; an empty one is an error, several lines warn."""
+    lines = triple_lines(spark, path)
+    if len(lines.take(2)) > 1:
+        warnings.warn(f"{path} has several lines; all are one ontology", stacklevel=2)
+    rows = lines.select(F.explode("triples").alias("t")).select(*(F.col("t")[k].alias(c) for k, c in enumerate(("subject", "predicate", "object")))).distinct()
     if rows.isEmpty():
         raise ValueError(f"no triples in {path}")
     return rows
@@ -73,11 +90,26 @@ def relation_alignment(spark: SparkSession, path: str) -> DataFrame:
 
 def review_labels(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, label) of a label CSV: human_label, else label; blank ones are skipped, the last counts."""
-    rows = spark.read.option("header", "true").option("escape", '"').csv(path).withColumn("_n", F.monotonically_increasing_id())
+    rows = spark.read.option("header", "true").option("escape", '"').csv(path).withColumn("_n", _place())
     found = [F.nullif(F.trim(c), F.lit("")) for c in ("human_label", "label") if c in rows.columns]
     return rows.select("sample_id", F.upper(F.coalesce(*found, F.lit(None).cast("string"))).alias("label"), "_n").where("label is not null").groupBy("sample_id").agg(F.max_by("label", "_n").alias("label"))
 
 
+def crawled_definitions(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of crawled sentences with relations and definitions; quoted fields may have line breaks."""
+    return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+
+
+def page_words(spark: SparkSession, path: str) -> DataFrame:
+    """Words of pages as JSON lines from any PDF tool: (doc_id, page, text, x0, x1, top, bottom)."""
+    return spark.read.schema("doc_id string, page bigint, text string, x0 double, x1 double, top double, bottom double").json(path)
+
+
+def page_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Table cells of pages as JSON lines: (doc_id, page, table, row, cells), a map of header to cell."""
+    return spark.read.schema("doc_id string, page bigint, table int, row int, cells map<string,string>").json(path)
+
+
 def relation_definitions(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("relation_definitions map<string,string>").option("multiLine", "true").json(path)
     pairs = rows.select(F.explode("relation_definitions").alias("relation", "definition"))

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATCH_COLUMNS = ["pred_id", "line_idx", "subject", "predicate", "object", "alignable", "matched", "reason_for_novelty", "gold_subject", "gold_predicate", "gold_object", "overall", "relation_score", "subject_score", "object_score"]
-REVIEW_COLUMNS = ["sample_id", "pred_id", "line_idx", "doc_id", "chunk_id", "section_title", "subject", "predicate", "object", "source_text_snippet", "human_label"]
+from ..functions.text import literal
+
+RECORD_FIELDS = ["index", "input_text", "entity_hint", "relation_hint", "oie", "schema_definition", "schema_canonicalization", "triples_before_utility_filter", "useful_triplets", "utility_filter_trace"]
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -19,6 +20,42 @@ def text_lines(df: DataFrame, path: str, column: str = "value") -> None:
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
 
 
+def chunk_records(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines in the order of their global index."""
+    chunks.withColumnRenamed("index", "global_index").orderBy("global_index").write.json(path)
+
+
+def stage_records(records: DataFrame, path: str) -> None:
+    """A JSON object a chunk, in order; readers take lines as well as a list."""
+    records.select(*RECORD_FIELDS).orderBy("index").write.json(path)
+
+
+def literal_lines(records: DataFrame, path: str, triples: str, order: str = "index") -> None:
+    """A list a chunk in order, as a Python literal; chunks without triples keep their line as []."""
+    none = F.array().cast("array<array<string>>")
+    kept = F.filter(F.coalesce(triples, none), lambda t: t.isNotNull())
+    line = F.concat(F.lit("["), F.array_join(F.transform(kept, lambda t: F.concat(F.lit("["), F.array_join(F.transform(t, literal), ", "), F.lit("]"))), ", "), F.lit("]"))
+    records.select(order, line.alias("value")).orderBy(order).select("value").write.text(path)
+
+
+def sorted_triples(triples: DataFrame, path: str) -> None:
+    """Distinct triples in one line as a sorted Python literal: an ontology, which is of bounded size."""
+    one = triples.select("subject", "predicate", "object").distinct().agg(F.sort_array(F.collect_list(F.struct("subject", "predicate", "object"))).alias("l"))
+    line = F.concat(F.lit("["), F.array_join(F.transform("l", lambda t: F.concat(F.lit("("), F.array_join(F.transform(F.array(t.subject, t.predicate, t.object), literal), ", "), F.lit(")"))), ", "), F.lit("]"))
+    one.select(line.alias("value")).write.text(path)
+
+
+def page_texts(lines: DataFrame, path: str) -> None:
+    """Plain texts of documents, a folder a document: rows (doc_id, text) in the order given within a document."""
+    lines.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+
+
+def page_tables(rows: DataFrame, path: str) -> None:
+    """Table rows as JSON lines, a folder a document: cells become fields, with _page, _table and _row."""
+    marks = F.map_from_arrays(F.array(*(F.lit(x) for x in ("_page", "_table", "_row"))), F.array(*(F.col(c).cast("string") for c in ("page", "table", "row"))))
+    rows.select("doc_id", F.to_json(F.map_concat("cells", marks)).alias("value")).write.partitionBy("doc_id").text(path)
+
+
 def triple_lists(chunks: DataFrame, path: str, order: str, triples: str = "triples") -> None:
     """A JSON list a chunk in order; chunks without triples keep their line as []."""
     none = F.array().cast("array<array<string>>")
@@ -40,10 +77,16 @@ def relation_json(definitions: DataFrame, path: str) -> None:
 
 
 def split_dataset(df: DataFrame, path: str, seed: int = 0, weights: tuple[float, float, float] = (0.75, 0.125, 0.125)) -> None:
-    for name, part in zip(("train", "test", "valid"), df.randomSplit(list(weights), seed), strict=True):
-        part.write.parquet(f"{path}/{name}")
-
-
-def report(metrics: dict[str, DataFrame]) -> str:
-    """A JSON report of one-row metric tables."""
-    return json.dumps({k: df.first().asDict(recursive=True) for k, df in metrics.items()}, indent=2, default=str, sort_keys=True)
+    low = F.pmod(F.xxhash64(F.lit(seed), F.struct(*df.columns)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    first, second = weights[0] / sum(weights), (weights[0] + weights[1]) / sum(weights)
+    part = F.when(low < first, "train").when(low < second, "test").otherwise("valid")
+    df.withColumn("split", part).write.partitionBy("split").parquet(path)  # one pass; equal rows stay together
+
+
+def report(sections: dict, path: str | None = None) -> str:
+    """A report (see evaluation.report) as JSON text, also written to a local ``path`` of the driver if there is one."""
+    text = json.dumps(sections, indent=2, default=str, ensure_ascii=False)
+    if path is not None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+    return text

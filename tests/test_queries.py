@@ -2,6 +2,7 @@ import pytest
 
 from .oracle import compare, connect
 
+import kgspark.plans.more_queries  # noqa: F401  (adds its queries)
 from kgspark.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
