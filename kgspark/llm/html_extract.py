@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from functools import cache
+from functools import cache, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -124,13 +124,13 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-@cache
+@lru_cache(maxsize=1 << 17)
 def _place(word: str) -> tuple[int, float]:
     h = crc32(word.encode())
     return h % PATH_DIM, 1.0 if h & 0x10000 else -1.0
 
 
-@cache
+@lru_cache(maxsize=50_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Signed hashed counts of the element names and class words of a path; the last two steps also on their own."""
     out = np.zeros(PATH_DIM, np.float32)
@@ -148,14 +148,12 @@ def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     out = np.zeros((len(blocks), INPUT), np.float32)
     for k, (path, text, linked) in enumerate(blocks):
         words = text.lower().encode("utf-8", "replace").split()
-        out[k, :PATH_DIM] = _path_vector(path) if len(path) < 64 else _path_vector(path[-64:])
+        out[k, :PATH_DIM] = _path_vector(path)
         counts = np.bincount([crc32(w) % WORD_DIM for w in words], minlength=WORD_DIM)
         out[k, PATH_DIM : PATH_DIM + WORD_DIM] = 0.5 * counts / max(1.0, float(np.sqrt(np.square(counts).sum())))
         n = len(text)
         stops = sum(map(text.count, ".!?"))
         out[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 6, linked / n, min(1.0, stops / len(words)) if words else 0.0, text[-1] in ".!?\"'", len(words) > 8, len(words) > 25, k == 0, len(path) / 8)
-    if _path_vector.cache_info().currsize > 100_000:
-        _path_vector.cache_clear()
     return out
 
 
@@ -345,8 +343,9 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11, batch:
     for k in range(pages):
         page, marks = generate(seed * 100_003 + k)
         blocks = leaves(page)
-        if len(blocks) == len(marks):
-            data.append((features(blocks), np.array(marks, np.float32)))
+        if len(blocks) != len(marks):
+            raise ValueError(f"generated page {k} has {len(blocks)} blocks and {len(marks)} marks")
+        data.append((features(blocks), np.array(marks, np.float32)))
     model, rng = BiLstm(), np.random.default_rng(seed)
     first, second, step = {}, {}, 0
     for epoch in range(epochs):

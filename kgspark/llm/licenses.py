@@ -41,7 +41,11 @@ TEMPLATES = {
 
 
 class Template:
-    """One automaton; ``scan`` gives whether words hold it and the best share of its mandatory words."""
+    """One automaton; ``scan`` gives whether words hold it and the best share of its mandatory words.
+
+    The share is that of the longest way from the template's beginning that some run of
+    words goes, in mandatory words; 1 if it is held.
+    """
 
     def __init__(self, name: str, markup: str, max_states: int = 50_000):
         self.name, self.max_states = name, max_states
@@ -73,12 +77,9 @@ class Template:
         self.delta: dict[tuple[int, bytes], int] = {}
         self.start = self._close({0})
         self.dead = frozenset()
-        #: Words that can begin it, and one long mandatory word that every accepted text has.
-        self.first = {m for s in self.start for m, _ in self.moves[s] if isinstance(m, bytes)}
-        plain = re.sub(r"<<beginOptional>>(?:(?!<<(?:begin|end)Optional).)*<<endOptional>>", " ", markup)
-        while _O in plain:
-            plain = re.sub(r"<<beginOptional>>(?:(?!<<(?:begin|end)Optional).)*<<endOptional>>", " ", plain)
-        self.anchor = max(_WORDS.findall(_MARK.sub(" ", plain).lower().encode()), key=len)
+        begins = [m for s in self.start for m, _ in self.moves[s]]
+        #: Words that can begin it; None if it begins with a replaceable region or may be empty.
+        self.first = set(begins) if begins and all(isinstance(m, bytes) for m in begins) and self.accept not in self.start else None
 
     def _new(self, at: int, on: object, done: int) -> int:
         self.moves.append([])
@@ -109,7 +110,7 @@ class Template:
     def scan(self, words: list[bytes]) -> tuple[bool, float]:
         best = 0
         for i, word in enumerate(words):
-            if word not in self.first:
+            if self.first is not None and word not in self.first:
                 continue
             states, j = self.start, i
             while states:
@@ -135,13 +136,11 @@ def scan_words(words: list[bytes], templates: list[Template]) -> tuple[list[int]
                 starts.append(i)
                 base.add(label)
     own, score = set(), 0.0
-    have = set(words)
     for t in templates:
-        if t.anchor in have:
-            hit, share = t.scan(words)
-            score = max(score, share)
-            if hit:
-                own.add(t.name)
+        hit, share = t.scan(words)
+        score = max(score, share)
+        if hit:
+            own.add(t.name)
     return starts, base, own, score
 
 
@@ -149,12 +148,13 @@ def license_scan(df: DataFrame, templates: dict[str, str] | None = None, id_col:
     """One row per input row: base counts, labels and score. Null texts count as empty.
 
     Map-only. Words are counted with array operations; only texts that hold a word
-    without which no phrase or template matches are cut into words.
+    with which a phrase or template begins are cut into words.
     """
 
     def run(batches):
         compiled = compile_templates(templates)
-        anchors = re.compile(b"|".join(sorted({re.escape(t.anchor) for t in compiled} | {b"license"})))
+        begins = {p[0] for p in PHRASES.values()}.union(*(t.first or () for t in compiled))
+        anchors = re.compile(b"|".join(sorted(map(re.escape, begins))) if all(t.first is not None for t in compiled) else b"")
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             rows = []

@@ -2,7 +2,7 @@
 
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
@@ -49,6 +49,23 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_stages_on_edge_rows(spark, edge):
+    """Nulls, empty and very long texts, ties, repeats and clashing names: each stage against its own plain version."""
+    c = duckdb.connect()
+    c.register("documents", edge.select("doc_id", "text", "lang", "source").toArrow())
+    want = Counter(r for (r,) in c.sql(f"select doc_id from ({quality.ORACLE_SQL}) where kept").fetchall())
+    kept = corpus_pipeline.quality_rules(spark, edge, DATA)
+    assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect()) == want
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    one = corpus_pipeline.near_duplicates(spark, edge, DATA).collect()
+    assert len(one) == len({(name, size) for _, name, size in class_ids(rows)}) and set(one[0].asDict()) == set(edge.columns)
+    cut = corpus_pipeline.repeated_passages(spark, edge, DATA)
+    assert cut.columns == edge.columns and cut.count() == len(rows)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut.collect())
+    packed = corpus_pipeline.packing(spark, edge, DATA).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(d for d, _ in rows)
+
+
 def test_two_runs_do_not_disturb_each_other(spark):
     a = corpus_pipeline.run(spark, DATA)
     b = corpus_pipeline.run(spark, DATA)

@@ -283,13 +283,27 @@ def test_salvage_plain_and_members(spark, tmp_path):
 def test_html_blocks_and_labels(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><script>var a='</p>';</script><article><h1>Head&amp;line</h1><p>One  sentence\nof text<br>goes on here &eacute;.<p>Two <b>bold</b> words, &lt;p&gt;.</p><!-- <p>no</p> --></article><div class=comments><p>me too</p></div><footer>&copy; us</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>"), (1, "u", page)]
-    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for c in ("text", "n_chars", "value", "id", "blocks"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+    got = html_extract.extract_pages(pages).collect()
     assert len(got) == 5
     text = next(r.text for r in got if r.page_id == 1)
     assert text == "Head&line\n\nOne sentence of text goes on here é.\n\nTwo bold words, <p>."
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id != 1)
 
 
+def test_html_long_pages(spark):
+    """Very long pages with deep paths, and many names of classes, in bounded memos."""
+    deep = "<div class=x>" * 300 + "<p>" + "word " * 50 + "</p>" + "</div>" * 300
+    many = "".join(f"<div class='c{i} d{i}'><p>{'one two three ' * 20}{i}</p></div>" for i in range(3000))
+    pages = spark.createDataFrame([(1, "u", f"<html><body><article>{many}</article></body></html>"), (2, "u", deep)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
+    assert set(got) == {1, 2} and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_extract._place.cache_info().maxsize is not None
+
+
 def test_html_held_out_accuracy():
     model, right, total = html_extract.trained(), 0, 0
     for k in range(9_000_000, 9_000_080):
@@ -341,6 +355,63 @@ def test_licenses(edge):
     assert licenses.license_scan(edge.limit(0)).count() == 0
 
 
+def template_pattern(markup):
+    """A template as a regular expression over words that each end in a blank."""
+    out = ""
+    for part in re.split(r"(<<[^>]*>>)", markup):
+        if part == "<<beginOptional>>":
+            out += "(?:"
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            how = dict(x.partition("=")[::2] for x in part[2:-2].split(";")[1:])
+            word = f"(?:{how['match']})" if "match" in how else "[^ ]+"
+            out += f"(?:{word} ){{0,{how.get('max', 1)}}}"
+        else:
+            out += "".join(re.escape(w) + " " for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", part.lower()))
+    return re.compile("(?:^| )" + out)
+
+
+def license_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    variants = []
+    for markup in licenses.TEMPLATES.values():
+        for keep in (0.0, 0.5, 1.0):
+            text = re.sub(r"<<var[^>]*>>", lambda m: "7 7" if "0-9" in m[0] else "some one", markup)
+            while "<<" in text:  # inner regions first
+                text = re.sub(r"<<beginOptional>>((?:(?!<<).)*)<<endOptional>>", lambda m: m[1] if rng.random() < keep else "", text)
+            words = text.split()
+            at = int(rng.integers(1, len(words)))
+            variants += [text, " ".join(words[:at]), " ".join([*words[:at], "instead", *words[at + 1 :]]), text.upper().replace(" ", ", ")]
+    return rows + [(10_000 + k, f"Before that. {v}! After") for k, v in enumerate(variants)]
+
+
+def test_licenses_by_patterns(spark):
+    rows = license_rows(spark)
+    patterns = {name: template_pattern(markup) for name, markup in licenses.TEMPLATES.items()}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hits = 0
+    for d, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        line = "".join(w + " " for w in words)
+        own = {name for name, p in patterns.items() if p.search(line)}
+        base = set(filter(None, got[d].base_labels.split(",")))
+        assert set(filter(None, got[d].labels.split(","))) == own | base, d
+        assert (got[d].score == 1.0) == bool(own)
+        hits += bool(own)
+    assert hits > 30
+
+
+def test_license_scores():
+    t = licenses.Template("t", "aa bb <<beginOptional>>cc<<endOptional>> dd <<var;max=2>> ee")
+    share = lambda s: t.scan(s.encode().split())[1]
+    assert share("aa bb dd x ee") == 1 and share("zz aa bb cc dd ww") == 0.75 and share("aa bb cc aa bb dd ee") == 1 and share("aa") == 0.25 and share("bb dd") == 0
+    free = licenses.Template("f", "<<var;max=1>> aa")
+    assert free.scan([b"x", b"aa"])[0] and free.scan([b"aa"])[0] and not free.scan([b"x"])[0]
+    assert licenses.Template("e", "<<beginOptional>>aa<<endOptional>>").scan([b"x"]) == (True, 1.0)
+
+
 def test_license_automaton():
     t = licenses.Template("t", "start here <<beginOptional>>maybe <<beginOptional>>twice<<endOptional>><<endOptional>> by <<var;max=2;match=[a-z]+>> end")
     scan = lambda s: t.scan(s.encode().split())[0]
