@@ -44,26 +44,38 @@ def _stage(first: bool = False):
 
 @_stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the fixed and the adaptive rules."""
+    """Documents that pass the fixed and the adaptive rules.
+
+    Null texts count as empty and go; null languages and sources are one group; repeated rows are judged alike.
+    """
     return quality_filter(docs)
 
 
 @_stage()
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near-duplicates."""
+    """The document of the smallest id of each class of near-duplicates.
+
+    Null and empty texts are one class; null ids come last; of rows with one id and class any one stays.
+    """
     return near_dedup(docs)
 
 
 @_stage()
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 100 bytes or more that occur earlier; n_chars follows the text."""
+    """All documents, without passages of 100 bytes or more that occur earlier; n_chars follows the text.
+
+    Null texts stay null, texts may become empty; null ids come before all others, rows of one id in the order of their texts.
+    """
     out = suffix_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 @_stage()
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a piece: where it lies in which sequence of 4096 tokens."""
+    """A row a piece: where it lies in which sequence of 4096 tokens.
+
+    Null texts count as empty and are the closing id alone; repeated rows are packed each.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
