@@ -37,7 +37,8 @@ def scratch_scope(paths: list[str]):
 
 def release(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
     """Delete the scratch tables at ``paths``, unless ``docs`` still reads from the scratch folder."""
-    if paths and not any("/kgspark/" in f and any(p.rpartition("/")[2] in f for p in paths) for f in docs.inputFiles()):
+    ours = {p.rpartition("/")[2] for p in paths}
+    if paths and not any(f.partition("/kgspark/")[2].partition("/")[0] in ours for f in docs.inputFiles()):
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
