@@ -126,7 +126,7 @@ def sections_of(text: str) -> list[dict]:
     return found
 
 
-STAGE_SCHEMA = "doc_id string, chunk_id string, input_text string, oie array<array<string>>, schema_definition map<string,string>, schema_canonicalization array<array<string>>, schema_canonicalizaiton array<array<string>>, useful_triplets array<array<string>>"
+STAGE_SCHEMA = "index bigint, doc_id string, chunk_id string, section_title string, input_text string, oie array<array<string>>, schema_definition map<string,string>, schema_canonicalization array<array<string>>, schema_canonicalizaiton array<array<string>>, useful_triplets array<array<string>>"
 
 
 def to_literal(triples: list[list[str]]) -> str:

@@ -241,3 +241,36 @@ def refinement_hints(spark, sf):
     schema = triples.groupBy(F.col("predicate").alias("relation")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation").limit(30)  # a schema of the thirty most frequent
     schema = schema.select("relation", F.concat(F.lit("the relation "), "relation").alias("definition"))
     return N.refinement_hints(chunks, triples, schema, "List the entities.\n\n{text}", "{entity_list_1}\n{entity_list_2}\n\n{text}")
+
+
+def _statements(spark, sf):
+    """An ontology over customers: segments are properties, nations their domains (by a union list of two), regions their ranges."""
+    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    row = lambda df, s, p, o, kind: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("kind"))
+    text = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    few = c.select("c_mktsegment", "c_nationkey").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    prop, key = text("http://x/#", F.col("c_mktsegment")), F.col("n_nationkey").cast("string")
+    node = text("_:u", F.col("c_mktsegment"), key)
+    other = F.pmod(F.col("n_nationkey") + 1, F.lit(25)).cast("string")
+    out = row(few, prop, "rdf:type", F.lit("owl:ObjectProperty"), "uri").union(row(few, prop, "rdfs:domain", node, "blank"))
+    out = out.union(row(few, prop, "rdfs:range", text("http://x/#R", F.col("n_regionkey").cast("string")), "uri"))
+    out = out.union(row(few, node, "owl:unionOf", text(node, "a"), "blank"))
+    out = out.union(row(few, text(node, "a"), "rdf:first", text("http://x/#N", key), "uri")).union(row(few, text(node, "a"), "rdf:rest", text(node, "b"), "blank"))
+    out = out.union(row(few, text(node, "b"), "rdf:first", text("http://x/#N", other), "uri")).union(row(few, text(node, "b"), "rdf:rest", F.lit("rdf:nil"), "uri"))
+    names = n.where("n_nationkey % 2 = 0").select(text("http://x/#N", F.col("n_nationkey").cast("string")).alias("uri"), F.col("n_name").alias("name"))
+    return out, names.union(r.select(text("http://x/#R", F.col("r_regionkey").cast("string")), "r_name"))
+
+
+FEW = "few AS (SELECT DISTINCT c_mktsegment AS seg, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey), node AS (SELECT '_:u' || seg || n AS u, 'http://x/#N' || n AS a, 'http://x/#N' || ((n + 1) % 25) AS b FROM few)"
+
+
+@query(f"WITH {FEW} SELECT u AS node, a AS member FROM node UNION SELECT u, b FROM node UNION SELECT u || 'a', a FROM node UNION SELECT u || 'a', b FROM node UNION SELECT u || 'b', b FROM node")
+def union_members(spark, sf):
+    return O.union_members(_statements(spark, sf)[0])
+
+
+@query(f"""WITH {FEW}, d AS (SELECT DISTINCT seg, n FROM few UNION SELECT seg, (n + 1) % 25 FROM few), g AS (SELECT DISTINCT seg, r FROM few)
+SELECT DISTINCT CASE WHEN d.n % 2 = 0 THEN n_name ELSE 'N' || d.n END AS subject, d.seg AS predicate, r_name AS object FROM d JOIN g USING (seg) JOIN nation ON n_nationkey = d.n JOIN region ON r_regionkey = g.r""")
+def gold_from_ontology(spark, sf):
+    """Named domain classes x named range classes of each property; odd nations are known by their local name."""
+    return O.gold_triples(*_statements(spark, sf))

@@ -72,8 +72,10 @@ def ontology_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage_records(spark: SparkSession, path: str) -> DataFrame:
-    """Stage records; both spellings of the canonicalisation field are read."""
-    rows = spark.read.schema(parsing.STAGE_SCHEMA).option("multiLine", "true").json(path)
+    """Stage records, a JSON list or an object a line; both spellings of the canonicalisation field are read."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    listed = first is not None and first.value.lstrip().startswith("[")
+    rows = spark.read.schema(parsing.STAGE_SCHEMA).option("multiLine", str(listed).lower()).json(path)
     return rows.withColumn("schema_canonicalization", F.coalesce("schema_canonicalization", "schema_canonicalizaiton")).drop("schema_canonicalizaiton")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import literal
 
-RECORD_FIELDS = ["index", "input_text", "entity_hint", "relation_hint", "oie", "schema_definition", "schema_canonicalization", "triples_before_utility_filter", "useful_triplets", "utility_filter_trace"]
+RECORD_FIELDS = ["index", "doc_id", "chunk_id", "section_title", "input_text", "entity_hint", "relation_hint", "oie", "schema_definition", "schema_canonicalization", "triples_before_utility_filter", "useful_triplets", "utility_filter_trace"]
 
 
 def json_lines(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import kgspark.__main__ as cli
 import kgspark.plans.more_queries  # noqa: F401
 from kgspark.functions import models, parsing
 from kgspark.functions import text as X
@@ -367,3 +368,21 @@ def test_streams(spark, tmp_path):
     q = dedup.stream_triples(chunks).writeStream.format("memory").queryName("kg_triples").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.subject, r.object) for r in spark.table("kg_triples").collect()) == [("a", "b"), ("x", "y0"), ("x", "y1")]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a_combined.txt").write_text("[SECTION_START]\nTITLE: T\nCONTENT:\nAnn lives near Rome. Bob eats apples.\n[SECTION_END]\n")
+    (tmp_path / "docs" / "other.txt").write_text("not read")
+    (tmp_path / "s.csv").write_text("lives,lives\neats,eats\n")
+    cli.main(["extract", "--documents", f"file://{tmp_path}/docs", "--schema", f"file://{tmp_path}/s.csv", "--out", f"file://{tmp_path}/out", "--min-similarity", "0.9", "--filter"])
+    read = lambda name: "".join(f.read_text() for f in sorted((tmp_path / "out" / name).glob("part*")))
+    assert {"Ann", "Bob"} <= {t[0] for line in read("canon_kg").splitlines() for t in ast.literal_eval(line)}
+    assert "chunk_count=1" in read("run_settings") and json.loads(read("result_at_each_stage").splitlines()[0])["index"] == 0
+    (tmp_path / "gold.txt").write_text("[('ann', 'lives', 'rome'), ('x', 'eats', 'y')]\n")
+    cli.main(["evaluate", "--predictions", f"file://{tmp_path}/out/canon_kg", "--ontology", f"file://{tmp_path}/gold.txt", "--stages", f"file://{tmp_path}/out/result_at_each_stage", "--out", f"file://{tmp_path}/ev"])
+    report = json.loads("".join(f.read_text() for f in (tmp_path / "ev" / "report").glob("part*")))
+    assert report["counts"]["matched"] == 1 and report["metrics_alignment"]["alignment_recall"] == 0.5
+    assert report["metrics_enrichment_auto"]["unique_predicates_after_canonicalization"] == 2
+    head = "".join(f.read_text() for f in (tmp_path / "ev" / "alignment_matches").glob("part*")).splitlines()[0]
+    assert head.split(",") == evaluation.MATCH_COLUMNS
