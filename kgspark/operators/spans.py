@@ -1,9 +1,13 @@
 """Span scores of predicted against reference triples: exact, partial, strict and type schemes per slot.
 
 Within an entry every prediction is scored against every reference, and the assignment
-of the highest mean score is taken. Spans are word n-grams, longest first; a slot may
-also match its text under another slot's label (switched roles), which counts as found
-with the wrong type. Word splitting is on letters and digits.
+of the highest mean F1 is taken; what has no partner is scored against nothing. The words
+of two slots are aligned by their longest common runs. The reference's words are one
+span; each run of the prediction is a span over the same places, words before a run that
+begins the reference or after one that ends it belong to that run, and other words of the
+prediction are spans of their own beside it. Where two slots find nothing in each other,
+they are compared crosswise, which finds switched roles with the wrong type. Word
+splitting is on letters and digits.
 """
 
 from __future__ import annotations
@@ -26,42 +30,99 @@ def words(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
-def longest_shared(ref: list[str], cand: list[str]) -> int:
-    """Length of the longest run of words that both have."""
-    best = 0
-    row = [0] * (len(cand) + 1)
-    for x in ref:
-        new = [0] * (len(cand) + 1)
-        for j, y in enumerate(cand):
-            if x == y:
-                new[j + 1] = row[j] + 1
-                best = max(best, new[j + 1])
-        row = new
-    return best
-
-
-def slot_counts(ref: list[list[str]], cand: list[list[str]]) -> list[dict[str, str]]:
-    """For each slot, the outcome under each scheme."""
-    out = []
-    for k, (r, c) in enumerate(zip(ref, cand, strict=True)):
-        if not c and not r:
-            out.append(dict.fromkeys(SCHEMES, "correct"))
-        elif not c:
-            out.append(dict.fromkeys(SCHEMES, "missed"))
-        elif r == c:
-            out.append(dict.fromkeys(SCHEMES, "correct"))
-        elif any(c == ref[j] for j in range(3) if j != k):
-            out.append({"strict": "incorrect", "exact": "correct", "partial": "correct", "ent_type": "incorrect"})
-        elif longest_shared(r, c):
-            out.append({"strict": "incorrect", "exact": "incorrect", "partial": "partial", "ent_type": "correct"})
+def common_runs(ref: list[str], cand: list[str]) -> list[tuple[int, int, int]]:
+    """(place in cand, place in ref, length) of common runs, the longest first, each word used once."""
+    left_ref, left_cand = set(range(len(ref))), set(range(len(cand)))
+    out: list[tuple[int, int, int]] = []
+    for size in range(min(len(ref), len(cand)), 0, -1):
+        for c in range(len(cand) - size + 1):
+            if not left_cand.issuperset(range(c, c + size)):
+                continue
+            for r in range(len(ref) - size + 1):
+                if ref[r : r + size] == cand[c : c + size] and left_ref.issuperset(range(r, r + size)):
+                    out.append((c, r, size))
+                    left_ref -= set(range(r, r + size))
+                    left_cand -= set(range(c, c + size))
+                    break
+    return out
+
+
+def slot_spans(ref: list[str], cand: list[str]) -> tuple[tuple[int, int] | None, list[tuple[int, int]], bool]:
+    """(span of the reference, spans of the prediction, whether anything was found), as half-open places on one line."""
+    runs = sorted(common_runs(ref, cand))
+    whole = (0, len(ref)) if ref else None
+    used = {k for c, _, n in runs for k in range(c, c + n)}
+    before = after = 0
+    if runs and runs[0][1] == 0:
+        before = runs[0][0]
+    if runs and runs[-1][1] + runs[-1][2] == len(ref):
+        after = len(cand) - runs[-1][0] - runs[-1][2]
+    spans = []
+    for k, (_, r, n) in enumerate(runs):
+        spans.append((r - (before if k == 0 else 0), r + n + (after if k == len(runs) - 1 else 0)))
+    loose = [k for k in range(before, len(cand) - after) if k not in used]
+    at = len(ref) + after + 1  # beside the reference
+    for k, c in enumerate(loose):
+        if k and loose[k - 1] == c - 1:
+            spans[-1] = (spans[-1][0], at + 1)
         else:
-            out.append(dict.fromkeys(SCHEMES, "incorrect"))
+            at += 1
+            spans.append((at, at + 1))
+        at += 1
+    return whole, spans, bool(runs)
+
+
+def outcomes(ref: tuple[int, int] | None, spans: list[tuple[int, int]], same: bool) -> dict[str, dict[str, int]]:
+    """Counts of each scheme for one reference span and the prediction's; ``same``: their types agree."""
+    out = {s: dict.fromkeys(COUNTS, 0) for s in SCHEMES}
+
+    def add(**kinds: str) -> None:
+        for scheme, kind in kinds.items():
+            out[scheme][kind] += 1
+
+    met = False
+    for span in spans:
+        if ref is None or span[1] <= ref[0] or span[0] >= ref[1]:
+            add(strict="spurious", exact="spurious", partial="spurious", ent_type="spurious")
+            continue
+        met = True
+        kind = "correct" if same else "incorrect"
+        if span == ref:
+            add(strict=kind, exact="correct", partial="correct", ent_type=kind)
+        else:
+            add(strict="incorrect", exact="incorrect", partial="partial", ent_type=kind)
+    if ref is not None and not met:
+        add(strict="missed", exact="missed", partial="missed", ent_type="missed")
     return out
 
 
-def pair_score(slots: list[dict[str, str]]) -> float:
-    value = {"correct": 1.0, "partial": 0.5}
-    return sum(value.get(s[scheme], 0.0) for s in slots for scheme in SCHEMES) / (len(SCHEMES) * 3)
+def slot_counts(ref: list[list[str]], cand: list[list[str]]) -> list[dict[str, dict[str, int]]]:
+    """For each slot of the reference, the counts of each scheme."""
+    found = [slot_spans(r, c) for r, c in zip(ref, cand, strict=True)]
+    with_slot = [0, 1, 2]
+    for i, j in ((0, 2), (0, 1), (1, 2)):  # subject and object, subject and predicate, predicate and object
+        if found[i][2] or found[j][2]:
+            continue
+        crossed = slot_spans(ref[i], cand[j]), slot_spans(ref[j], cand[i])
+        if crossed[0][2] or crossed[1][2]:
+            found[i], found[j] = crossed
+            with_slot[i], with_slot[j] = j, i
+            break
+    return [outcomes(span, spans, with_slot[k] == k) for k, (span, spans, _) in enumerate(found)]
+
+
+def rates(scheme: str, c: dict[str, int]) -> tuple[float, float, float]:
+    """Precision, recall and F1; the partial and type schemes give half for a partial match."""
+    gained = c["correct"] + (0.5 * c["partial"] if scheme in ("partial", "ent_type") else 0.0)
+    actual, possible = c["correct"] + c["incorrect"] + c["partial"] + c["spurious"], c["correct"] + c["incorrect"] + c["partial"] + c["missed"]
+    p, r = gained / actual if actual else 0.0, gained / possible if possible else 0.0
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def pair_score(slots: list[dict[str, dict[str, int]]]) -> float:
+    """Mean F1 of the four schemes over all slots of a pair."""
+    total = {s: {c: sum(slot[s][c] for slot in slots) for c in COUNTS} for s in SCHEMES}
+    return sum(rates(s, total[s])[2] for s in SCHEMES) / len(SCHEMES)
 
 
 def assign(score: list[list[float]]) -> list[int]:
@@ -100,21 +161,15 @@ def assign(score: list[list[float]]) -> list[int]:
     return out
 
 
-def entry_counts(reference: list[list[str]], predicted: list[list[str]]) -> list[tuple[str, str, dict[str, int]]]:
-    """(scheme, slot, counts) of one entry."""
+def entry_pairs(reference: list[list[str]], predicted: list[list[str]]) -> list[list[dict[str, dict[str, int]]]]:
+    """The slots' counts of each chosen pair of one entry; the shorter side is filled up with empty triples."""
     refs, cands = [[words(x) for x in t] for t in reference], [[words(x) for x in t] for t in predicted]
-    tally = {(s, k): dict.fromkeys(COUNTS, 0) for s in SCHEMES for k in SLOTS}
+    n = max(len(refs), len(cands))
+    none: list[list[str]] = [[], [], []]
+    refs, cands = refs + [none] * (n - len(refs)), cands + [none] * (n - len(cands))
     pairs = [[slot_counts(r, c) for r in refs] for c in cands]
-    chosen = assign([[pair_score(p) for p in row] for row in pairs]) if refs and cands else [-1] * len(cands)
-    for i, j in enumerate(chosen):
-        for k, slot in enumerate(SLOTS):
-            for s in SCHEMES:
-                tally[s, slot][pairs[i][j][k][s] if j >= 0 else "spurious"] += 1
-    for j in set(range(len(refs))) - set(chosen):
-        for slot in SLOTS:
-            for s in SCHEMES:
-                tally[s, slot]["missed"] += 1
-    return [(s, k, c) for (s, k), c in tally.items()]
+    chosen = assign([[pair_score(p) for p in row] for row in pairs]) if n else []
+    return [pairs[i][j] for i, j in enumerate(chosen)]
 
 
 def paired_lines(predicted: DataFrame, gold: DataFrame, key: str = "line_ix", max_length_diff: int | None = None) -> DataFrame:
@@ -138,17 +193,21 @@ def span_triple(triple: F.Column) -> F.Column:
 
 
 def span_scores(entries: DataFrame, key: str, reference: str, predicted: str) -> DataFrame:
-    """(scheme, slot, counts, precision, recall, f1): sums of counts and means of entries' scores; slot ALL joins the three."""
-    schema = "array<struct<scheme:string,slot:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"
+    """(scheme, slot, counts, possible, actual, precision, recall, f1): sums of counts and means of the chosen pairs' rates; slot ALL joins the three."""
+    schema = "array<struct<pair:int,scheme:string,slot:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"
 
     @F.pandas_udf(schema)
     def score(ref: pd.Series, cand: pd.Series) -> pd.Series:
-        return pd.Series([[{"scheme": s, "slot": k} | c for s, k, c in entry_counts([list(t) for t in r], [list(t) for t in p])] for r, p in zip(ref, cand, strict=True)])
+        def one(r, p):
+            found = entry_pairs([list(t) for t in r], [list(t) for t in p])
+            return [{"pair": i, "scheme": s, "slot": slot} | counts[s] for i, pair in enumerate(found) for slot, counts in zip(SLOTS, pair, strict=True) for s in SCHEMES]
+
+        return pd.Series([one(r, p) for r, p in zip(ref, cand, strict=True)])
 
     long = entries.select(key, F.explode(score(reference, predicted)).alias("x")).select(key, "x.*")
-    per = long.groupBy(key, "scheme").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("slot", F.lit("ALL")).unionByName(long)
-    gained = F.col("correct") + F.when(F.col("scheme") == "partial", 0.5 * F.col("partial")).otherwise(0.0)
-    actual, possible = F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("spurious"), F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("missed")
+    both = long.groupBy(key, "pair", "scheme").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("slot", F.lit("ALL")).unionByName(long)
+    gained = F.col("correct") + F.when(F.col("scheme").isin("partial", "ent_type"), 0.5 * F.col("partial")).otherwise(0.0)
+    both = both.withColumns({"actual": F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("spurious"), "possible": F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("missed")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    per = per.withColumns({"p": zero(F.try_divide(gained, actual)), "r": zero(F.try_divide(gained, possible))}).withColumn("f", zero(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))))
-    return per.groupBy("scheme", "slot").agg(*(F.sum(c).alias(c) for c in COUNTS), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("f"), 6).alias("f1"))
+    both = both.withColumns({"p": zero(F.try_divide(gained, "actual")), "r": zero(F.try_divide(gained, "possible"))}).withColumn("f", zero(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))))
+    return both.groupBy("scheme", "slot").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "possible", "actual")), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("f"), 6).alias("f1"))

@@ -247,16 +247,48 @@ def test_best_assignment_is_best():
         assert total == pytest.approx(best)
 
 
-def test_span_counts_add_up(spark):
-    rows = QUERIES["span_scores"](spark, DATA).collect()
-    entries = spark.read.parquet(f"{DATA}/supplier.parquet").count()
-    for r in rows:
-        slots = 3 if r.slot == "ALL" else 1
-        assert r.correct + r.incorrect + r.partial + r.missed == 2 * entries * slots  # two references an entry
-        assert r.correct + r.incorrect + r.partial + r.spurious == 2 * entries * slots  # and two predictions
-        assert 0 <= r.precision <= 1 and 0 <= r.recall <= 1
-    by = {(r.scheme, r.slot): r for r in rows}
-    assert all(by["strict", s].correct <= by["exact", s].correct for s in ("SUB", "PRED", "OBJ"))
+def test_span_alignment():
+    w = str.split
+    assert spans.common_runs(w("a b c d"), w("c d a b")) == [(0, 2, 2), (2, 0, 2)]
+    assert spans.slot_spans(w("a b c"), w("a b c")) == ((0, 3), [(0, 3)], True)
+    assert spans.slot_spans(w("a b c"), w("x a b c y")) == ((0, 3), [(-1, 4)], True)  # linked before and after
+    assert spans.slot_spans(w("a b c"), w("b x"))[1][0] == (1, 2) and len(spans.slot_spans(w("a b c"), w("b x"))[1]) == 2  # x stands beside
+    assert spans.slot_spans([], w("x")) == (None, [(2, 3)], False) and spans.slot_spans(w("x"), []) == ((0, 1), [], False)
+    triple = lambda *parts: [spans.words(x) for x in parts]
+    same = spans.slot_counts(triple("Ann Lee", "lives in", "Rome"), triple("ann lee", "lives in", "rome"))
+    assert all(slot[s]["correct"] == 1 for slot in same for s in spans.SCHEMES) and spans.pair_score(same) == 1.0
+    part = spans.slot_counts(triple("Ann Lee", "lives in", "Rome"), triple("Ann", "stays at", "Rome"))
+    assert part[0]["partial"]["partial"] == part[0]["ent_type"]["correct"] == part[0]["strict"]["incorrect"] == 1
+    assert part[1]["strict"] == {"correct": 0, "incorrect": 0, "partial": 0, "missed": 1, "spurious": 1}
+    turned = spans.slot_counts(triple("Ann", "knows", "Bob"), triple("Bob", "knows", "Ann"))
+    assert turned[0]["exact"]["correct"] == turned[2]["exact"]["correct"] == 1 and turned[0]["strict"]["incorrect"] == turned[0]["ent_type"]["incorrect"] == 1
+    more = spans.entry_pairs([["a", "b", "c"]], [["x", "y", "z"], ["a", "b", "c"]])
+    assert len(more) == 2 and more[1][0]["strict"]["correct"] == 1 and more[0][0]["strict"]["spurious"] == 1
+    assert spans.entry_pairs([], []) == []
+
+
+def test_span_scores_table(spark):
+    """Sums and means over pairs, from the entries one by one."""
+    n = {r.n_nationkey: r for r in spark.read.parquet(f"{DATA}/nation.parquet").collect()}
+    region = {r.r_regionkey: r.r_name for r in spark.read.parquet(f"{DATA}/region.parquet").collect()}
+    totals, rates = {}, {}
+    for s in spark.read.parquet(f"{DATA}/supplier.parquet").collect():
+        nation = n[s.s_nationkey]
+        ref = [[s.s_name, "located in", nation.n_name], [nation.n_name, "part of", region[nation.n_regionkey]]]
+        cand = [[nation.n_name, "part of", "ASIA" if s.s_suppkey % 3 == 0 else region[nation.n_regionkey]], [nation.n_name, "is located in", s.s_name]]
+        for pair in spans.entry_pairs(ref, cand):
+            for scheme in spans.SCHEMES:
+                whole = {c: sum(slot[scheme][c] for slot in pair) for c in spans.COUNTS}
+                for name, counts in [("ALL", whole), *zip(spans.SLOTS, (slot[scheme] for slot in pair), strict=True)]:
+                    t = totals.setdefault((scheme, name), dict.fromkeys(spans.COUNTS, 0))
+                    for c in spans.COUNTS:
+                        t[c] += counts[c]
+                    rates.setdefault((scheme, name), []).append(spans.rates(scheme, counts))
+    for r in QUERIES["span_scores"](spark, DATA).collect():
+        t = totals[r.scheme, r.slot]
+        assert {c: r[c] for c in spans.COUNTS} == t
+        assert r.possible == t["correct"] + t["incorrect"] + t["partial"] + t["missed"]
+        assert (r.precision, r.recall, r.f1) == tuple(pytest.approx(np.mean(x), abs=1e-6) for x in zip(*rates[r.scheme, r.slot], strict=True))
 
 
 def test_text_lines_table(spark):
