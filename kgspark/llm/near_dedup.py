@@ -32,7 +32,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NOT_SPACE, mix, spans_hash, word_spans
@@ -45,6 +44,8 @@ REGISTERS = BANDS * ROWS
 #: Nodes of a bucket that are compared pair by pair; more go by hubs and the exact join, with the same result.
 SMALL = 64
 HUBS = 16
+#: Shingles whose frequency orders the exact join; all others count as rare. Bounds what is broadcast (4 MB).
+FREQUENT = 1 << 18
 OWN = "__kgspark_"
 _C = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -243,16 +244,33 @@ def signed(df: DataFrame, text_col: str) -> DataFrame:
 def _tokens(batches):
     """A row for each shingle of each bag."""
     for batch in batches:
-        reps, roots, keys, weights = [], [], [], []
-        for rep, root, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            k, w = _unpack(bag)
-            reps.append(np.full(len(k), rep, np.int64))
-            roots.append(np.full(len(k), root, np.int64))
-            keys.append(k.view(np.int64))
-            weights.append(w.astype(np.int64))
-        cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (reps, roots, keys, weights)]
-        for i in range(0, len(cols[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=["rep", "root", "token", "w"])
+        for bag in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack(bag)[0].view(np.int64))], names=["token"])
+
+
+def _prefixes(frequent):
+    """Rows (rep, root, bag) to the shingles of each bag's prefix, from rare to frequent; frequent: (shingles ascending, how often)."""
+
+    def run(batches):
+        names, often = frequent.value
+        for batch in batches:
+            for rep, root, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, weights = _unpack(bag)
+                at = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
+                df = np.where(names[at] == keys, often[at], 0) if len(names) else np.zeros(len(keys), np.int64)
+                order = np.lexsort((keys, df))
+                keys, weights = keys[order], weights[order].astype(np.int64)
+                total = int(weights.sum())
+                left = total - np.cumsum(weights) + weights
+                n = int((5 * left >= 4 * total).sum())
+                before = np.ma.masked_array(np.roll(keys, 1).view(np.int64), np.arange(len(keys)) == 0)[:n]
+                same = lambda v, kind, n=n: pa.array([v] * n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[:n].view(np.int64)), same(rep, pa.int64()), same(root, pa.int64()), pa.array(left[:n]), same(total, pa.int64()), same(int(weights.max()) == 1 if len(weights) else True, pa.bool_()), pa.array(before.data, mask=np.ma.getmaskarray(before))],
+                    names=["token", "rep", "root", "left", "total", "plain", "before"],
+                )
+
+    return run
 
 
 def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
@@ -265,15 +283,13 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     repeats the common number itself is bounded by what either has left. Pairs meet at such shingles and are
     compared exactly.
     """
-    token = materialize(members.join(bag, "rep").select("rep", "root", "bag").mapInArrow(mapper(_tokens), "rep bigint, root bigint, token bigint, w bigint"), "tokens")
-    df = token.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-    onward = W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("rep")
-    ranked = token.join(df, "token").select("*", F.sum("w").over(onward).alias("left"), F.sum("w").over(whole).alias("total"), F.max("w").over(whole).alias("most"))
-    ranked = ranked.where("low <> high and left * 5 >= total * 4").select("token", "rep", "root", "df", "left", "total", (F.col("most") == 1).alias("plain"))
-    rarer = F.lead("token").over(W.partitionBy("rep").orderBy(F.desc("df"), F.desc("token")))
-    ranked = ranked.withColumn("before", rarer).drop("df")  # a pair with the same token before meets there already
-    ranked = materialize(ranked, "prefixes")
+    held = materialize(members.join(bag, "rep").select("rep", "root", "bag"), "held")
+    df = held.select("bag").mapInArrow(mapper(_tokens), "token bigint").groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    top = df.orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most; any one order of shingles gives right results
+    names, often = top.column("token").to_numpy().view(np.uint64), top.column("df").to_numpy()
+    by = np.argsort(names)
+    frequent = held.sparkSession.sparkContext.broadcast((names[by], often[by]))
+    ranked = materialize(held.mapInArrow(mapper(_prefixes(frequent)), "token bigint, rep bigint, root bigint, left bigint, total bigint, plain boolean, before bigint"), "prefixes")
     a, b = ranked.alias("a"), ranked.alias("b")
     near = a.join(b, F.expr(
         "a.token = b.token and a.root < b.root and not coalesce(a.before = b.before, false) and 9 * a.left * b.left >= 4 * (a.total * b.left + b.total * a.left) and (not (a.plain and b.plain) or least(a.left, b.left) * 9 >= (a.total + b.total) * 4)"
