@@ -1,4 +1,4 @@
-"""Two-track evaluation: alignment to an ontology, and the novel rest, with its tables and report.
+"""Evaluation: alignment to an ontology, and the novel rest, with its tables and report.
 
 Predictions are rows (pred_id, subject, predicate, object) and, where known, line_idx,
 doc_id, chunk_id, section_title, source_text_snippet. The order of predictions is that
