@@ -47,6 +47,8 @@ LENGTH = 100
 ANCHOR = 32
 PART_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
+#: From so many buckets on they widen, up to so many times.
+FEW_BUCKETS, WIDEST = 32, 8
 STEP_BYTES = 1 << 21
 BATCH_SUFFIXES = 1 << 16
 CHUNK_BYTES = 1 << 18
@@ -293,17 +295,20 @@ class _Steps:
             sizes = counts + self.length - 1
             firsts = np.cumsum(sizes) - sizes
             steps = -(-len(text) // STEP_BYTES)  # equal prefixes have one anchor, so slices of keys can go one by one
+            found = []
             for k in range(steps):
                 some = np.flatnonzero(keys % np.uint64(steps) == np.uint64(k))
                 order = some[np.lexsort((starts[some], docs[some], parts[some], ids[some], ~nulls[some]))]
                 mine = text[_expand(firsts[order], sizes[order])]
                 again = repeats(mine, np.cumsum(sizes[order]) - sizes[order], counts[order], self.length)
                 run_of = order[np.repeat(np.arange(len(order)), counts[order])[again]]
-                at = _expand(starts[order], counts[order])[again]
-                for part in np.unique(parts[run_of]):
-                    of = parts[run_of] == part
-                    spans = _spans(docs[run_of[of]], at[of], self.length)
-                    out.append(_row(int(part), 0, span_docs=spans[0].astype(np.int32), span_starts=spans[1], span_ends=spans[2]))
+                found.append(_spans(parts[run_of] << 32 | docs[run_of], _expand(starts[order], counts[order])[again], self.length))
+            whose, first, end = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(whose, kind="stable")  # a row a part, however many parts and steps there are
+            whose, first, end = whose[order], first[order], end[order]
+            cut = np.flatnonzero(np.diff(whose >> 32, prepend=-1))
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(whose)], strict=False):
+                out.append(_row(int(whose[i] >> 32), 0, span_docs=(whose[i:j] & 0xFFFFFFFF).astype(np.int32), span_starts=first[i:j], span_ends=end[i:j]))
         return _wide(out).select(["part", "span_docs", "span_starts", "span_ends"])
 
     def removed(self, table: pa.Table, spans: pa.Table):
@@ -341,9 +346,14 @@ class _Steps:
         return table.drop_columns([OWN + "part"])
 
 
+def dealt(size: int) -> tuple[int, int]:
+    """Parts and buckets for so many bytes of text: a part may send a row to each bucket, so buckets widen with the text."""
+    wide = min(max(BUCKET_BYTES, size // FEW_BUCKETS), WIDEST * BUCKET_BYTES)
+    return max(1, -(-size // PART_BYTES)), max(1, -(-size // wide))
+
+
 def _plan(df: DataFrame, id_col: str, text_col: str, length: int):
-    size = total_bytes(df, f"`{text_col}`")
-    parts, buckets = max(1, -(-size // PART_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    parts, buckets = dealt(total_bytes(df, f"`{text_col}`"))
     steps = _Steps(id_col, text_col, length, buckets)
     docs = df.withColumn(OWN + "part", F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(parts)).cast("bigint"))
     grouped = docs.groupBy(OWN + "part")

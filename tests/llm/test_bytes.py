@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,31 @@ def test_suffix_dedup_keeps_columns(edge):
     assert got == ascii_rows
 
 
+def test_suffix_rows_of_a_bucket(monkeypatch):
+    """A bucket tells each part once, however many steps it takes, and buckets widen with the text."""
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 1 << 11)
+    rng = np.random.default_rng(2)
+    passages = [rng.integers(97, 123, 300).astype(np.uint8) for _ in range(40)]
+    table = pa.table({"doc_id": pa.array(range(80)), "text": [p.tobytes().decode() for p in passages] * 2})
+    steps = suffix_dedup._Steps("doc_id", "text", 100, 1)
+    rows = []
+    for part in range(8):
+        mine, runs = steps._open(table.slice(part * 10, 10))
+        firsts = runs.offsets[runs.docs] + runs.starts
+        text = runs.data[suffix_dedup._expand(firsts, runs.counts + 99)]
+        ids = mine.column("doc_id").to_numpy()[runs.docs]
+        rows.append(suffix_dedup._row(part, 0, keys=runs.keys, ids=ids, nulls=np.zeros(len(ids), bool), docs=runs.docs.astype(np.int32), starts=runs.starts, counts=runs.counts.astype(np.uint16), text=text))
+    got = steps.matches((0,), suffix_dedup._wide(rows)).to_pylist()
+    assert [r["part"] for r in got] == [4, 5, 6, 7]
+    for r in got:
+        gone = np.zeros((10, 300), bool)
+        for d, a, b in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("span_docs", np.int32), ("span_starts", np.int64), ("span_ends", np.int64))), strict=True):
+            gone[d, a:b] = True
+        assert gone.all()
+    parts, buckets = suffix_dedup.dealt(10 << 30)
+    assert parts == 5120 and buckets == 160 and suffix_dedup.dealt(100 << 20) == (50, 13)
+
+
 def test_level_index_is_logarithmic():
     index, rng = suffix_dedup.LevelIndex(), np.random.default_rng(0)
     known = {}
