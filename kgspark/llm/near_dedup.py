@@ -17,7 +17,8 @@ a connected component of links, named by its smallest document id.
    Nodes of a larger bucket outside its largest class are compared with ``HUBS`` of that
    class. This settles almost all of a group of copies, in linear work.
 5. What is left, buckets that still hold several classes, goes through an exact join
-   across classes on rare shingles (``_apart``), linked nodes included. So each pair of
+   across classes on rare shingles (``_apart``), linked nodes included, listed
+   only where prefixes of several classes share them. So each pair of
    one bucket is in one class, or has been compared, or can't be similar enough.
 
 Banding itself misses a link of similarity 0.8 about 3 times in a million. Shingles and
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, NOT_SPACE, mix, spans_hash, word_spans
-from .common import doc_chunks, mapper, materialize, text_buffers
+from .common import doc_chunks, given, mapper, materialize, text_buffers
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,8 +45,11 @@ REGISTERS = BANDS * ROWS
 #: Nodes of a bucket that are compared pair by pair; more go by hubs and the exact join, with the same result.
 SMALL = 64
 HUBS = 16
-#: Shingles whose frequency orders the exact join; all others count as rare. Bounds what is broadcast (4 MB).
-FREQUENT = 1 << 18
+#: Shingles go to slices by their first bits. Counters order the exact join (shingles of one counter by value); seats tell
+#: what several classes share (of two shingles of a seat one may be listed in vain). Both bound what is broadcast (4 MB each).
+SLICE_BITS, COUNTER_BITS, SEAT_BITS = 8, 20, 25
+SLICES = 1 << SLICE_BITS
+STRETCH = 1 << 20
 OWN = "__kgspark_"
 _C = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(64)]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,42 +245,125 @@ def signed(df: DataFrame, text_col: str) -> DataFrame:
     return materialize(out.withColumn(OWN + "row", F.monotonically_increasing_id()), "signed")
 
 
-def _tokens(batches):
-    """A row for each shingle of each bag."""
-    for batch in batches:
-        for bag in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack(bag)[0].view(np.int64))], names=["token"])
+def _packed_slices(flush, add):
+    """A mapper: rows of each stretch of about ``STRETCH`` shingles, one a slice of shingles. add(row): arrays held of a bag."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(add(row))
+                size += len(held[-1][0])
+                if size >= STRETCH:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
 
+def _sliced(keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """Ascending 64-bit keys and their values as one row a slice."""
+    cut = np.searchsorted(keys >> np.uint64(64 - SLICE_BITS), np.arange(SLICES + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cut))
+    columns = [pa.array([v[cut[k] : cut[k + 1]].tobytes() for k in some.tolist()], pa.binary()) for v in (keys, *values)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *columns], names=["slice", "keys", "x", "y"][: 2 + len(values)])
 
-def _prefixes(frequent):
-    """Rows (rep, root, bag) to the shingles of each bag's prefix, from rare to frequent; frequent: (shingles ascending, how often)."""
+
+def _tally(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    places, counts = np.unique(np.concatenate([h[0] for h in held]) >> np.uint64(64 - COUNTER_BITS), return_counts=True)
+    return _sliced(places << np.uint64(64 - COUNTER_BITS), counts.astype(np.uint32))
+
+
+def _tallied(table: pa.Table) -> pa.Table:
+    """How often the shingles of a slice's counters occur."""
+    size = 1 << COUNTER_BITS - SLICE_BITS
+    total = np.zeros(size, np.int64)
+    for keys, counts in zip(table.column("keys").to_pylist(), table.column("x").to_pylist(), strict=True):
+        total[(np.frombuffer(keys, np.uint64) >> np.uint64(64 - COUNTER_BITS) & np.uint64(size - 1)).astype(np.int64)] += np.frombuffer(counts, np.uint32)
+    return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+
+def _prefix(bag: bytes, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, bool, np.ndarray]:
+    """(shingles of the bag's prefix from rare to frequent, weight left at each, all weight, whether none repeats, the shingle before each)."""
+    keys, weights = _unpack(bag)
+    order = np.lexsort((keys, often[(keys >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+    keys, weights = keys[order], weights[order].astype(np.int64)
+    total = int(weights.sum())
+    left = total - np.cumsum(weights) + weights
+    n = int((5 * left >= 4 * total).sum())
+    return keys[:n], left[:n], total, int(weights.max(initial=1)) == 1, np.roll(keys, 1)[:n]
+
+
+def _low_high(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, low, high = keys[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+
+def _roots_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    roots = np.concatenate([h[1] for h in held])
+    return _sliced(*_low_high(np.concatenate([h[0] for h in held]), roots, roots))
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """A bit for the shingles of a slice that prefixes of several classes have (and for what shares their bit)."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    keys, low, high = _low_high(get("keys", np.uint64), get("x", np.int64), get("y", np.int64))
+    bits = np.zeros(1 << SEAT_BITS - SLICE_BITS, bool)
+    bits[(keys[low < high] >> np.uint64(64 - SEAT_BITS) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _whole(slices: DataFrame, size: int, kind) -> np.ndarray:
+    """The slices' arrays one after the other, zero where there is none."""
+    out = np.zeros((SLICES, size // SLICES), kind)
+    for row in slices.toLocalIterator():
+        out[row.slice] = np.frombuffer(row.bits, kind)
+    return out.ravel()
+
+
+def _prefixes(often, seats):
+    """Rows (rep, root, bag) to those shingles of each bag's prefix that prefixes of other classes have as well."""
 
     def run(batches):
-        names, often = frequent.value
+        counts, bits = often.value, seats.value
         for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
             for rep, root, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, weights = _unpack(bag)
-                at = np.minimum(np.searchsorted(names, keys), max(len(names) - 1, 0))
-                df = np.where(names[at] == keys, often[at], 0) if len(names) else np.zeros(len(keys), np.int64)
-                order = np.lexsort((keys, df))
-                keys, weights = keys[order], weights[order].astype(np.int64)
-                total = int(weights.sum())
-                left = total - np.cumsum(weights) + weights
-                n = int((5 * left >= 4 * total).sum())
-                before = np.ma.masked_array(np.roll(keys, 1).view(np.int64), np.arange(len(keys)) == 0)[:n]
-                same = lambda v, kind, n=n: pa.array([v] * n, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:n].view(np.int64)), same(rep, pa.int64()), same(root, pa.int64()), pa.array(left[:n]), same(total, pa.int64()), same(int(weights.max()) == 1 if len(weights) else True, pa.bool_()), pa.array(before.data, mask=np.ma.getmaskarray(before))],
-                    names=["token", "rep", "root", "left", "total", "plain", "before"],
-                )
+                keys, left, total, plain, before = _prefix(bag, counts)
+                at = keys >> np.uint64(64 - SEAT_BITS)
+                some = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1)
+                for x, v in zip(out, (keys[some].view(np.int64), [rep] * len(some), [root] * len(some), left[some], [total] * len(some), [plain] * len(some), [None if k == 0 else v for k, v in zip(some.tolist(), before[some].view(np.int64).tolist(), strict=True)]), strict=True):
+                    x.extend(v)
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["token", "rep", "root", "left", "total", "plain", "before"])
 
     return run
 
 
+def _ranked(held: DataFrame) -> DataFrame:
+    """(token, rep, root, left, total, plain, before) where prefixes of several classes meet. held: rep, root, bag."""
+    share = held.sparkSession.sparkContext.broadcast
+    bits = "slice bigint, bits binary"
+    tally = held.select("bag").mapInArrow(mapper(_packed_slices(_tally, lambda row: (_unpack(row[0])[0],))), "slice bigint, keys binary, x binary")
+    often = share(_whole(tally.groupBy("slice").applyInArrow(lambda t: given(_tallied, t), bits), 1 << COUNTER_BITS, np.uint32))
+
+    def prefix(row):
+        keys = _prefix(row[1], often.value)[0]
+        return keys, np.full(len(keys), row[0], np.int64)
+
+    roots = held.select("root", "bag").mapInArrow(mapper(_packed_slices(_roots_of, prefix)), "slice bigint, keys binary, x binary, y binary")
+    seats = share(_whole(roots.groupBy("slice").applyInArrow(lambda t: given(_met, t), bits), 1 << SEAT_BITS - 3, np.uint8))
+    return materialize(held.mapInArrow(mapper(_prefixes(often, seats)), "token bigint, rep bigint, root bigint, left bigint, total bigint, plain boolean, before bigint"), "prefixes")
+
+
 def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     """Verified (rep, hub) pairs of different roots, all there are. members: rep, root.
 
-    Shingles are ordered from rare to frequent. If P and Q are the shares of the two bags' weights that lie on
+    Shingles are ordered from rare to frequent, and only those that prefixes of several classes have are listed. If P and Q are the shares of the two bags' weights that lie on
     common shingles, the similarity is at most P Q / (P + Q - P Q): each of its terms is at most
     1 / (1/p + (1 - Q)/q), a concave function of the shares p and q of one shingle. So 0.8 needs 1/P + 1/Q <= 2.25,
     hence P, Q >= 0.8, and from the first common shingle on both bags must have that much left. In bags without
@@ -284,12 +371,7 @@ def _apart(members: DataFrame, bag: DataFrame) -> DataFrame:
     compared exactly.
     """
     held = materialize(members.join(bag, "rep").select("rep", "root", "bag"), "held")
-    df = held.select("bag").mapInArrow(mapper(_tokens), "token bigint").groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    top = df.orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most; any one order of shingles gives right results
-    names, often = top.column("token").to_numpy().view(np.uint64), top.column("df").to_numpy()
-    by = np.argsort(names)
-    frequent = held.sparkSession.sparkContext.broadcast((names[by], often[by]))
-    ranked = materialize(held.mapInArrow(mapper(_prefixes(frequent)), "token bigint, rep bigint, root bigint, left bigint, total bigint, plain boolean, before bigint"), "prefixes")
+    ranked = _ranked(held)
     a, b = ranked.alias("a"), ranked.alias("b")
     near = a.join(b, F.expr(
         "a.token = b.token and a.root < b.root and not coalesce(a.before = b.before, false) and 9 * a.left * b.left >= 4 * (a.total * b.left + b.total * a.left) and (not (a.plain and b.plain) or least(a.left, b.left) * 9 >= (a.total + b.total) * 4)"

@@ -124,6 +124,23 @@ def test_near_recall_in_large_buckets(spark):
     assert got == both(class_ids(rows))
 
 
+def test_near_prefixes_where_classes_meet(spark):
+    """Shingles of prefixes are listed where another class has them in a prefix too, and nowhere else."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    rows = []
+    for rep in range(300):
+        own = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        keys = np.sort(np.concatenate([common[: 60 if rep < 200 else 0], rows[-1][2][:5] if rep == 299 else own[:0], own]))
+        rows.append((rep, min(rep, 200) // 200 + rep // 299, keys))
+    held = spark.createDataFrame([(a, b, bytearray(near_dedup._pack(k, np.ones(len(k), np.int64)))) for a, b, k in rows], "rep bigint, root bigint, bag binary")
+    got = near_dedup._ranked(held).collect()
+    assert {r.root for r in got} <= {1, 2} and len(got) <= 20
+    assert {r.token for r in got if r.rep == 299} == {r.token for r in got if r.rep == 298}
+    many = near_dedup._ranked(held.withColumn("root", F.col("rep"))).groupBy("token").agg(F.countDistinct("root").alias("n")).where("n < 2").count()
+    assert many == 0
+
+
 def test_similarity_is_bounded_by_common_shares():
     """What the exact join prunes by: P Q / (P + Q - P Q) for the shares on common shingles."""
     rng = np.random.default_rng(0)
