@@ -501,6 +501,27 @@ def trigram_scores(train, texts, weights):
     return out
 
 
+def test_lm_beyond_the_broadcast_filter(spark, edge, monkeypatch):
+    """A corpus whose filter is larger than what is broadcast: every n-gram counts, single ones too."""
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(lm, "FLUSH_BYTES", 1 << 14)
+    rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
+    toks = [[*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), "</s>"] for _, t in rows]
+    counts = Counter(w for (d, _), ws in zip(rows, toks, strict=True) if not lm.held_out(d) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    model = lm.Model(edge)
+    other = lm.score_documents(edge, model).collect()
+    score = trigram_scores([t for (d, _), t in zip(rows, toks, strict=True) if not lm.held_out(d)], toks, model.weights)
+    name = lambda d: -1 if d is None else d
+    want = sorted((name(d), len(t), lm.held_out(d), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), x) for (d, _), t, x in zip(rows, toks, score, strict=True))
+    for got in (lm.lm_score(edge).collect(), other):
+        got = sorted((name(r.doc_id), r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+        assert [x[:5] for x in got] == [x[:5] for x in want]
+        assert np.allclose([x[5] for x in got], [x[5] for x in want], rtol=1e-9)
+        assert np.mean([abs(x[6] - y[6]) <= 0.02 * abs(y[6]) for x, y in zip(got, want, strict=True)]) > 0.95
+    assert lm.score_documents(edge.limit(0), model).count() == 0
+
+
 def test_lm_weights_and_omissions():
     number, total = np.zeros(65), np.zeros(65)
     number[1], total[1], number[3], total[3] = 1000, 1000, 50, 250
