@@ -10,6 +10,12 @@ emitted; continuations are the pending suffixes that still are prefixes of a
 token, so lookahead is bounded by the longest token. States and transitions are
 made when first taken, and dropped together once there are ``MAX_STATES``.
 
+Most pieces are words that come once and would make states that no other piece
+meets. Pieces of up to ``SHORT`` bytes run on the transducer as it is before it is
+determinised: its states are tokens, its moves the tokens that can follow. The
+path to a place is unique, so trying longer tokens first and going back where no
+token follows reads no place twice.
+
 Decoding streams token bytes through an incremental UTF-8 decoder.
 """
 
@@ -32,6 +38,7 @@ from .common import mapper, text_buffers
 
 MAX_STATES = 200_000
 MAX_PAIRS = 1_000_000
+SHORT = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +54,8 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {k[:i] for k in ranks for i in range(1, len(k))}
+        #: what a token can begin with: its rank if it is a token, else -1
+        self.heads = dict.fromkeys(self.prefixes, -1) | ranks
         self._pairs: dict[int, bool] = {}
         self._reset()
 
@@ -121,10 +130,42 @@ class Transducer:
             self.states.append((before, pending, last, cuts, tuple(going)))
         return to, out
 
+    def walk(self, piece: bytes) -> list[int]:
+        """The encoding by the transducer before it is determinised."""
+        heads, pairs, size, n = self.heads, self._pairs, self.size, len(piece)
+        out: list[int] = []
+        untried: list[list[int]] = []
+        at, before = 0, -1
+        while at < n:
+            here = []  # tokens that start here, the longest last
+            for end in range(at + 1, n + 1):
+                found = heads.get(piece[at:end])
+                if found is None:
+                    break
+                if found >= 0:
+                    here.append(found)
+            while True:
+                if here:
+                    token = here.pop()
+                    fits = pairs.get((before + 1) << 32 | token)
+                    if self.follows(before, token) if fits is None else fits:
+                        break
+                elif out:
+                    at -= size[out.pop()]
+                    before, here = out[-1] if out else -1, untried.pop()
+                else:
+                    raise ValueError("the rank table lacks a byte")
+            out.append(token)
+            untried.append(here)
+            at, before = at + size[token], token
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if len(piece) <= SHORT:
+            return self.walk(piece)
         if len(self.states) > MAX_STATES:
             self._reset()
         out: list[int] = []

@@ -156,6 +156,20 @@ def test_bpe_random_bytes_and_streams():
         assert "".join(coder.decode_stream(ids, block=1)) == text
 
 
+def test_bpe_words_that_come_once():
+    """They make no states; both forms of the transducer give the library's ids, at all lengths."""
+    coder, lib, rng = bpe.ByteBpe(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN), library(), random.Random(4)
+    machine = coder.transducer
+    text = " ".join("".join(rng.choice(["th", "ing", "er", "tion", "q", "é", "日"]) for _ in range(rng.randint(2, 6))) for _ in range(3000))
+    assert coder.encode(text) == lib.encode_ordinary(text)
+    assert len(machine.states) == 1
+    for n in (*range(1, 90), 1000, 5000):
+        for letters in ("aeioutnsr", "ab", "x", "né日"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert machine.walk(word.encode()) == machine.encode(word.encode()) == lib.encode_ordinary(word)
+    assert len(machine.states) > 1
+
+
 @pytest.mark.parametrize("which", ["edge", "table"])
 def test_packing(spark, edge, which):
     from tokenizers import Tokenizer
