@@ -192,7 +192,7 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.parts = PartCoder(self._part, strip=False)
+        self.parts = PartCoder(lambda parts: list(map(self._part, parts)), strip=False)
         self.vocabulary = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.vocabulary[v] = k

@@ -36,6 +36,8 @@ _LATIN_LEAD[0xC3:0xC9] = True  # U+00C0 to U+023F
 MAX_CACHED = 250_000
 #: A longer part is coded each time that a stretch has it, and not kept.
 LONG_PART = 256
+#: Parts that are looked up, and coded if need be, at once.
+BLOCK = 1 << 14
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,27 +68,33 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PartCoder:
-    """Codes texts by ``code(part bytes) -> little-endian unsigned 32-bit ids``."""
+    """Codes texts by ``code(parts) -> little-endian unsigned 32-bit ids of each``, parts and ids as bytes."""
 
-    def __init__(self, code: Callable[[bytes], bytes], strip: bool, most: int = MAX_CACHED):
+    def __init__(self, code: Callable[[list[bytes]], list[bytes]], strip: bool, most: int = MAX_CACHED):
         self.code, self.strip, self.most = code, strip, most
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _block(self, parts: list[bytes]) -> list[bytes]:
+        out = list(map(self.new.get, parts))
+        unknown = [k for k, value in enumerate(out) if value is None]
+        fresh = []
+        for k in unknown:
+            out[k] = self.old.get(parts[k])
+            if out[k] is None:
+                fresh.append(k)
+        if fresh:
+            for k, value in zip(fresh, self.code([parts[k] for k in fresh]), strict=True):
+                out[k] = value
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new.update([(parts[k], out[k]) for k in unknown if len(parts[k]) <= LONG_PART])
+        return out
+
     def _codes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         out = []
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            part = raw[a:b]
-            value = self.new.get(part)
-            if value is None:
-                value = self.old.get(part)
-                if value is None:
-                    value = self.code(part)
-                if b - a <= LONG_PART:
-                    if len(self.new) >= self.most:
-                        self.old, self.new = self.new, {}
-                    self.new[part] = value
-            out.append(value)
+        for i in range(0, len(starts), BLOCK):
+            out += self._block([raw[a:b] for a, b in zip(starts[i : i + BLOCK].tolist(), ends[i : i + BLOCK].tolist(), strict=True)])
         return out
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19):
@@ -98,16 +106,19 @@ class PartCoder:
             if not len(starts):
                 yield from (np.zeros(0, np.uint32) for _ in range(j - i))
                 continue
-            if self.strip:  # leading ASCII white space has no code
-                text = np.flatnonzero(~_SPACE[part])
-                first = np.searchsorted(text, starts)
-                heads = np.append(text, len(part))[first]
-                starts = np.minimum(heads, ends)
-            _, first, inverse = np.unique(spans_hash(part, starts, ends), return_index=True, return_inverse=True)
+            hashes = spans_hash(part, starts, ends)
+            order = np.argsort(hashes)  # np.unique would sort stably, which takes longer
+            fresh = np.append(True, np.diff(hashes[order]) != 0)
+            first, inverse = order[fresh], np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(fresh) - 1
             alike = first[inverse]
             if not ((ends - starts) == (ends - starts)[alike]).all() or not same_spans(part, starts, starts[alike], ends - starts):
                 first = inverse = np.arange(len(starts))  # two parts share a hash: each is looked up by its bytes
-            codes = self._codes(part.tobytes(), starts[first], ends[first])
+            starts, ends = starts[first], ends[first]
+            if self.strip:  # leading ASCII white space has no code
+                text = np.flatnonzero(~_SPACE[part])
+                starts = np.minimum(np.append(text, len(part))[np.searchsorted(text, starts)], ends)
+            codes = self._codes(part.tobytes(), starts, ends)
             table = np.frombuffer(b"".join(codes), "<u4")
             sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
             base = np.cumsum(sizes) - sizes

@@ -32,18 +32,38 @@ from .common import given, mapper, materialize, text_buffers
 CAPACITY = 4096
 GROUP_ITEMS = 16_384
 FAN_IN = 16
+#: Words of up to so many characters are tokenised so many at once.
+SHORT, TOGETHER = 64, 128
 
 
 class WordTokenizer:
-    """Ids of a tokenizer file whose pieces never contain white space."""
+    """Ids of a tokenizer file whose pieces never contain white space and which has ids for every piece."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.parts = PartCoder(self._part, strip=True)
-
-    def _part(self, part: bytes) -> bytes:
-        ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
+        self.parts = PartCoder(self._parts, strip=True)
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part. Short runs of letters are tokenised many at once, with blanks between them."""
+        texts = list(map(bytes.decode, parts))
+        words, rest = [], []
+        for k, text in enumerate(texts):
+            (words if text.isalpha() and len(text) <= SHORT else rest).append(k)
+        out = [b""] * len(parts)
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            found = self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False)
+            of = found.word_ids  # ascending, from 0
+            if not of or of[-1] != len(some) - 1:  # letters that normalise to several pieces
+                rest += some
+                continue
+            ids, edges = pack(f"<{len(of)}I", *found.ids), (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+            for k, a, b in zip(some, edges[:-1], edges[1:], strict=True):
+                out[k] = ids[a:b]
+        for k in rest:
+            ids = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
+            out[k] = pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, text: str) -> list[int]:
         data = np.frombuffer(text.encode(), np.uint8)

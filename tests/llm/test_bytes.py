@@ -170,6 +170,30 @@ def test_bpe_words_that_come_once():
     assert len(machine.states) > 1
 
 
+def test_words_are_tokenised_together():
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def encode(self, *args, **kwargs):
+            self.calls += 1
+            return self.inner.encode(*args, **kwargs)
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(6)
+    lib, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    words.tokenizer = Counting(words.tokenizer)
+    once = ["".join(rng.choice(["th", "ing", "er", "tion", "q", "é", "ß", "日"]) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = "  ".join(once) + "\n12 don't, " + "x" * 500 + " E\u0301te\u0301"
+    assert words.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert words.tokenizer.calls < 100
+    every = [chr(c) for c in range(0x110000) if chr(c).isalpha()]  # some become several pieces
+    for some in (every, ["a" + c + "b" for c in rng.sample(every, 20_000)]):
+        text = " ".join(some)
+        assert words.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("which", ["edge", "table"])
 def test_packing(spark, edge, which):
     from tokenizers import Tokenizer
