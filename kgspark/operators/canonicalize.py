@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.models import Completer, Embedder, complete, embed_distinct, hashing_embedder, rule_completer
 from ..functions.parsing import parse_completion
+from .ordering import join_vocabulary
 from .retrieval import gate, ranked_lists, top_k
 
 MAX_ORDERED = 200_000
@@ -24,7 +25,7 @@ def canonicalize(triples: DataFrame, schema: DataFrame, k: int = 3, least: float
     definition, gated, and offered to the verifier if there is one.
     """
     known = schema.select(F.col("relation").alias("predicate"), F.col("relation").alias("_same"))
-    open_ = triples.join(known, "predicate", "left_anti").where("definition is not null").select(F.col("definition").alias("query")).distinct()
+    open_ = join_vocabulary(triples, known, "predicate", "left_anti").where("definition is not null").select(F.col("definition").alias("query")).distinct()
     q = embed_distinct(open_, "query", "embedding", embedder)
     s = embed_distinct(schema.select("relation", F.concat("relation", F.lit(": "), "definition").alias("t")), "t", "embedding", embedder).select("relation", "embedding")
     best = ranked_lists(top_k(q, s, k, "query", "relation"), "query", "relation")
@@ -37,7 +38,7 @@ def canonicalize(triples: DataFrame, schema: DataFrame, k: int = 3, least: float
         asked = complete(best.where("first is not null").withColumn("prompt", F.concat("query", F.lit("\n"), X.choice_list(offered))), "prompt", "answer", verify)
         best = asked.withColumn("first", X.choice(F.col("items"), F.col("answer")))
     found = best.select(F.col("query").alias("definition"), F.col("first").alias("_found"))
-    return triples.join(known, "predicate", "left").join(found, "definition", "left").withColumn("canonical", F.coalesce("_same", "_found")).drop("_same", "_found")
+    return join_vocabulary(join_vocabulary(triples, known, "predicate"), found, "definition").withColumn("canonical", F.coalesce("_same", "_found")).drop("_same", "_found")
 
 
 def enrich(open_relations: list[tuple[str, str]], schema: list[tuple[str, str]], embed: Embedder, least: float, margin: float, verify: Callable[[str, str, list[tuple[str, str]]], str | None] | None = None) -> tuple[dict[str, str], list[tuple[str, str]]]:
