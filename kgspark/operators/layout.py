@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,26 +53,57 @@ def section_islands(df: DataFrame, group: str, order: str, title: str) -> DataFr
     return df.withColumn("section", starts)
 
 
+def _starts_line(top: float, anchor: float | None, tolerance: float) -> bool:
+    return anchor is None or abs(top - anchor) > tolerance
+
+
 def line_groups(tops: list[float], tolerance: float = 3) -> list[int]:
     """Line numbers of words sorted by top: a word further than ``tolerance`` from its line's first word starts another."""
     out, line, anchor = [], -1, None
     for top in tops:
-        if anchor is None or abs(top - anchor) > tolerance:
+        if _starts_line(top, anchor, tolerance):
             line, anchor = line + 1, top
         out.append(line)
     return out
 
 
 def text_lines(words: DataFrame, page: str = "page", tolerance: float = 3) -> DataFrame:
-    """(page, line, text) of words grouped by height; a page's words are a bounded group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(r=pdf["top"].round(1)).sort_values(["r", "x0"], kind="stable")
-        pdf["line"] = line_groups(pdf["top"].tolist(), tolerance)
-        rows = [(pdf[page].iloc[0], k, " ".join(g.sort_values("x0", kind="stable")["text"])) for k, g in pdf.groupby("line")]
-        return pd.DataFrame(rows, columns=[page, "line", "text"])
-
-    return words.select(page, "text", "x0", "top").groupBy(page).applyInPandas(run, f"{page} bigint, line int, text string")
+    """(page, line, text) of words grouped by height, read in order, so that a line at a time is held; words of one place go by text."""
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    rows = words.select(F.col(page).cast("bigint").alias(page), known("top"), known("x0"), "text").repartition(page)
+    ordered = rows.sortWithinPartitions(page, F.rint(F.col("top") * 10), "x0", "text")  # tops to one digit
+
+    def run(batches):
+        made: list[tuple] = []
+        held: list[tuple] = []
+        at: tuple | None = None  # page, line, top of its first word
+
+        def close():
+            held.sort(key=lambda w: (w[0] != w[0], w[0]))
+            made.append((at[0], at[1], " ".join([w[1] for w in held])))
+            held.clear()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.int32()), pa.array([r[2] for r in made], pa.string())], [page, "line", "text"])
+            made.clear()
+            return out
+
+        for batch in batches:
+            for p, top, x0, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None or p != at[0]:
+                    if at is not None:
+                        close()
+                    at = p, 0, top
+                elif _starts_line(top, at[2], tolerance):
+                    close()
+                    at = p, at[1] + 1, top
+                held.append((x0, text))
+            yield rows()
+        if at is not None:
+            close()
+            yield rows()
+
+    return ordered.mapInArrow(run, f"{page} bigint, line int, text string")
 
 
 def inline_anchors(lines: DataFrame, anchors: DataFrame, page: str = "page") -> DataFrame:
