@@ -12,10 +12,12 @@ splitting is on letters and digits.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +165,11 @@ def assign(score: list[list[float]]) -> list[int]:
 
 def entry_pairs(reference: list[list[str]], predicted: list[list[str]]) -> list[list[dict[str, dict[str, int]]]]:
     """The slots' counts of each chosen pair of one entry; the shorter side is filled up with empty triples."""
-    refs, cands = [[words(x) for x in t] for t in reference], [[words(x) for x in t] for t in predicted]
+    return word_pairs([[words(x) for x in t] for t in reference], [[words(x) for x in t] for t in predicted])
+
+
+def word_pairs(refs: list[list[list]], cands: list[list[list]]) -> list[list[dict[str, dict[str, int]]]]:
+    """The same from words; only which of them are equal matters."""
     n = max(len(refs), len(cands))
     none: list[list[str]] = [[], [], []]
     refs, cands = refs + [none] * (n - len(refs)), cands + [none] * (n - len(cands))
@@ -192,22 +198,41 @@ def span_triple(triple: F.Column) -> F.Column:
     return F.array(form(triple[0]), form(triple[1]), drop_qualifier(form(triple[2])))
 
 
-def span_scores(entries: DataFrame, key: str, reference: str, predicted: str) -> DataFrame:
-    """(scheme, slot, counts, possible, actual, precision, recall, f1): sums of counts and means of the chosen pairs' rates; slot ALL joins the three."""
-    schema = "array<struct<pair:int,scheme:string,slot:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"
+def pattern(reference: list[list[str]], predicted: list[list[str]]) -> str:
+    """An entry with its words numbered by first occurrence; entries of one pattern have the same scores."""
+    numbers: dict[str, int] = {}
+    number = lambda triples: [[[numbers.setdefault(w, len(numbers)) for w in words(x)] for x in t] for t in triples]
+    return json.dumps([number(reference), number(predicted)], separators=(",", ":"))
 
-    @F.pandas_udf(schema)
-    def score(ref: pd.Series, cand: pd.Series) -> pd.Series:
-        def one(r, p):
-            found = entry_pairs([list(t) for t in r], [list(t) for t in p])
-            return [{"pair": i, "scheme": s, "slot": slot} | counts[s] for i, pair in enumerate(found) for slot, counts in zip(SLOTS, pair, strict=True) for s in SCHEMES]
 
-        return pd.Series([one(r, p) for r, p in zip(ref, cand, strict=True)])
+def span_scores(entries: DataFrame, reference: str, predicted: str) -> DataFrame:
+    """(scheme, slot, counts, possible, actual, precision, recall, f1): sums of counts and means of the chosen pairs' rates; slot ALL joins the three.
 
-    long = entries.select(key, F.explode(score(reference, predicted)).alias("x")).select(key, "x.*")
-    both = long.groupBy(key, "pair", "scheme").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("slot", F.lit("ALL")).unionByName(long)
+    Entries are counted by pattern, and each pattern is scored once.
+    """
+    schema = "array<struct<scheme:string,slot:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"
+
+    def patterns(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(r, p) for r, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())], ["pattern"])
+
+    @F.pandas_udf(schema)
+    def score(told: pd.Series) -> pd.Series:
+        def one(text):
+            out = []
+            for pair in word_pairs(*json.loads(text)):
+                for s in SCHEMES:
+                    whole = {c: sum(slot[s][c] for slot in pair) for c in COUNTS}
+                    out += [{"scheme": s, "slot": name} | counts for name, counts in [("ALL", whole), *zip(SLOTS, (slot[s] for slot in pair), strict=True)]]
+            return out
+
+        return pd.Series([one(x) for x in told])
+
+    counted = entries.select(reference, predicted).mapInArrow(patterns, "pattern string").groupBy("pattern").agg(F.count("*").alias("n"))
+    both = counted.select("n", F.explode(score("pattern")).alias("x")).select("n", "x.*")
     gained = F.col("correct") + F.when(F.col("scheme").isin("partial", "ent_type"), 0.5 * F.col("partial")).otherwise(0.0)
     both = both.withColumns({"actual": F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("spurious"), "possible": F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("missed")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     both = both.withColumns({"p": zero(F.try_divide(gained, "actual")), "r": zero(F.try_divide(gained, "possible"))}).withColumn("f", zero(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))))
-    return both.groupBy("scheme", "slot").agg(*(F.sum(c).alias(c) for c in (*COUNTS, "possible", "actual")), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("f"), 6).alias("f1"))
+    mean = lambda c, name: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6).alias(name)
+    return both.groupBy("scheme", "slot").agg(*(F.sum(F.col(c) * F.col("n")).alias(c) for c in (*COUNTS, "possible", "actual")), mean("p", "precision"), mean("r", "recall"), mean("f", "f1"))
