@@ -6,13 +6,15 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import sections_of
 from ..functions.text import BULLET, bind, collapse, newlines, sentences, strip
 
+#: Chunks leave a task's worker after so many characters of documents.
+PART_LETTERS = 1 << 20
 CHUNK = "chunk_id string, section_id string, section_title string, chunk_type string, text string, span_start int, span_end int, merged boolean"
 
 
@@ -183,12 +185,27 @@ def document_chunks(doc_id: str, text: str, size: int = 4, overlap: int = 1, bul
 def adaptive_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(id, chunk_ix, chunk fields) of each document's structure-aware chunks; documents are independent."""
 
-    @F.pandas_udf(f"array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>")
-    def cut(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([document_chunks(i, t, **settings) for i, t in zip(ids, texts, strict=True)])
-
-    made = df.select(id_col, F.posexplode(cut(F.col(id_col).cast("string"), F.col(text_col))).alias("chunk_ix", "c"))
-    return made.select(id_col, "chunk_ix", "c.*")
+    kinds = dict(df.dtypes)
+    fields = pa.schema([("chunk_ix", pa.int32()), *((f.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in CHUNK.split(", "))])
+
+    def run(batches):
+        for batch in batches:
+            ids, names, texts = batch.columns
+            rows: list[dict] = []
+            places: list[int] = []
+            letters = 0
+            for k in range(len(batch)):  # texts one by one, rows by so many letters: a batch's texts and chunks are not held as objects
+                text = texts[k].as_py()
+                made = document_chunks(names[k].as_py(), text, **settings)
+                rows += [c | {"chunk_ix": i} for i, c in enumerate(made)]
+                places += [k] * len(made)
+                letters += len(text or "")
+                if rows and (letters >= PART_LETTERS or k == len(batch) - 1):
+                    table = pa.Table.from_pylist(rows, fields).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(places)), *(c.chunk(0) for c in table.columns)], [id_col, *fields.names])
+                    rows, places, letters = [], [], 0
+
+    return df.select(id_col, F.col(id_col).cast("string").alias("_name"), text_col).mapInArrow(run, f"{id_col} {kinds[id_col]}, chunk_ix int, {CHUNK}")
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
